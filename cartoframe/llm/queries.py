@@ -25,9 +25,9 @@ WITH RECURSIVE w AS (
   FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), c AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * both >= 90 * (x.n + y.n - both)
+  SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 90 * (x.n + y.n - shared)
 ), reach AS (
   SELECT doc_id AS id, doc_id AS r FROM documents
   UNION
