@@ -68,7 +68,9 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", side_col: str
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     """Neighbouring conversations as preference pairs: an even conv_id is chosen over the odd one after it."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return preference_pairs(turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text"))
+    pairs = preference_pairs(turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return pairs.select("pair_id", "n_shared", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
 def sql() -> str:
@@ -83,11 +85,11 @@ WITH t AS (
 ), s AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same), max(pos) + 1) - 1 AS n_shared FROM m GROUP BY pair_id
 ), k AS (SELECT t.*, n_shared, {one('t')} AS line FROM t JOIN s USING (pair_id)
 ), e AS (SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, chosen ORDER BY pos) - length(line) AS begun FROM k WHERE pos > n_shared
-), x AS (SELECT pair_id, chosen, pos, line, CASE WHEN role = '{TRAINED}' THEN {{'start': CAST(begun + {len(OPEN) + 1} + length(role) AS BIGINT), 'end': CAST(begun + length(line) - 1 AS BIGINT)}} END AS span FROM e)
+), x AS (SELECT pair_id, chosen, pos, line, CASE WHEN role = '{TRAINED}' THEN CAST(begun + {len(OPEN) + 1} + length(role) AS BIGINT) || '-' || CAST(begun + length(line) - 1 AS BIGINT) END AS span FROM e)
 SELECT s.pair_id, n_shared,
   coalesce((SELECT string_agg(line, '' ORDER BY pos) FROM k WHERE k.pair_id = s.pair_id AND chosen AND pos <= k.n_shared), '') AS prompt,
   coalesce((SELECT string_agg(line, '' ORDER BY pos) FROM x WHERE x.pair_id = s.pair_id AND chosen), '') AS chosen,
   coalesce((SELECT string_agg(line, '' ORDER BY pos) FROM x WHERE x.pair_id = s.pair_id AND NOT chosen), '') AS rejected,
-  coalesce((SELECT list(span ORDER BY pos) FILTER (span IS NOT NULL) FROM x WHERE x.pair_id = s.pair_id AND chosen), []) AS chosen_mask,
-  coalesce((SELECT list(span ORDER BY pos) FILTER (span IS NOT NULL) FROM x WHERE x.pair_id = s.pair_id AND NOT chosen), []) AS rejected_mask
+  coalesce((SELECT string_agg(span, ',' ORDER BY pos) FROM x WHERE x.pair_id = s.pair_id AND chosen), '') AS chosen_mask,
+  coalesce((SELECT string_agg(span, ',' ORDER BY pos) FROM x WHERE x.pair_id = s.pair_id AND NOT chosen), '') AS rejected_mask
 FROM s"""
