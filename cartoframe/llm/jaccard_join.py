@@ -11,8 +11,12 @@ at least a rational threshold p/q.  The work is done in three steps.
    D = 2u(q-p)/(q+p) of them, so if hash ranges cut the universe in more than D
    parts, one part is identical on both sides.  A passage that many documents
    share does not make a hot bucket, since a part also holds the document's own
-   n-grams.  Sparse parts are left out where enough others stay (z below).  All
-   members of a bucket meet in the group of the bucket's smallest document.
+   n-grams.  The universe is cut in z parts more than needed, so linked sets agree
+   on z + 1; each document may then leave out its up to z parts of fewest rare
+   n-grams, by a threshold on that number: of the z + 1 one stays on both sides.
+   (Which n-grams are rare is read from counts in a hashed table of fixed size.
+   It only decides how selective the buckets are, never what links.)  All members
+   of a bucket meet in the group of the bucket's smallest document.
 3. *Signature trees.*  A group is cut into blocks of bounded size.  A block's
    sets become the leaves of a tree whose nodes hold the OR of the token bitmaps
    below and the ranges of set size and bitmap weight.  A dual traversal drops
@@ -48,6 +52,8 @@ from cartoframe.runtime import Scratch
 BLOCK_SETS, BLOCK_MEMBERS = 512, 2_000_000
 #: A node of the tree has so many children; bits of a token bitmap.
 FANOUT, BITS = 8, 1024
+#: Counters of the hashed n-gram counts, in so many rows; one above COMMON times the mean marks common n-grams.
+COUNTERS, CHUNKS, COMMON = 1 << 19, 16, 3
 _RATIO = 1.4
 
 
@@ -90,26 +96,55 @@ def _keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2: the set's size and fingerprints."""
+    """doc_id, n_shingles, k1, k2: the set's size and fingerprints.  Rows with a `chunk` hold a task's n-gram counts instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "k1", "k2", "chunk", "counts"]
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             ids = batch.column(0)
             for i, j, words in tk.runs(batch.column(1), tk.SPACE_WORDS):
                 hashes, bounds = _distinct(words, n)
+                counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 k1, k2 = _keys(hashes, bounds)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc_id", "n_shingles", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+        if counts.any():
+            none = pa.nulls(CHUNKS, pa.int64())
+            parts = [np.minimum(c, 2**16 - 1).astype(np.uint16).tobytes() for c in np.split(counts, CHUNKS)]
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, chunk int, counts binary")
 
 
-def _postings(hashes: np.ndarray, bounds: np.ndarray, p: int, q: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _common(sketched: DataFrame) -> np.ndarray:
+    """Which counters stand for common n-grams: COUNTERS flags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(counts.as_buffer(), np.uint16).astype(np.int64)
+                total[chunk] = total[chunk] + x if chunk in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([int(x.sum()) for x in total.values()], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "n", "counts"])
+
+    summed = sketched.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, n long, counts binary")
+    rows = summed.collect()  # CHUNKS rows, 8 bytes a counter
+    limit = max(8, COMMON * sum(r.n for r in rows) / COUNTERS)
+    flags = np.zeros((CHUNKS, COUNTERS // CHUNKS), bool)
+    for r in rows:
+        flags[r.chunk] = np.frombuffer(r.counts, np.int64) > limit
+    return flags.reshape(-1)
+
+
+def _postings(hashes: np.ndarray, bounds: np.ndarray, p: int, q: int, low: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket keys, text numbers) of a run."""
     size = np.diff(bounds)
     keys, texts = [], []
     own = np.searchsorted(low, size, side="right") - 1
     last = np.searchsorted(low, size * q // p, side="right") - 1
     text_of = np.repeat(np.arange(len(size)), size)
+    rare = ~common[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
     for step in range(int((last - own)[size > 0].max(initial=-1)) + 1):
         band = own + step
         most = low[np.minimum(band + 1, len(low) - 1)] - 1
@@ -120,21 +155,23 @@ def _postings(hashes: np.ndarray, bounds: np.ndarray, p: int, q: int, low: np.nd
         if not use.any():
             continue
         keep = use[text_of]
-        h, t = hashes[keep], text_of[keep]
+        h, t, r = hashes[keep], text_of[keep], rare[keep]
         part = ((h >> np.uint64(32)) * parts[t].astype(np.uint64)) >> np.uint64(32)
         cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1])]))
         with np.errstate(over="ignore"):
             total = np.add.reduceat(tk.mix(h ^ np.uint64(0x5851F42D4C957F2D)), cut)
-            count = np.diff(np.append(cut, len(h)))
+            weight = np.minimum(np.add.reduceat(r.astype(np.int64), cut), 3)
             t, part = t[cut], part[cut]
             salt = (band[t].astype(np.uint64) << np.uint64(44)) + part + np.uint64(1)
             key = tk.mix(total + tk.mix(salt))
-        full = np.bincount(t[count > 1], minlength=len(size))
-        drop = parts - full <= spare
-        chosen = ~(drop[t] & (count < 2))
+        least = np.zeros(len(size), np.int64)  # parts of less weight are left out: at most `spare`, with the empty ones
+        for w in (1, 2, 3):
+            heavy = np.bincount(t[weight >= w], minlength=len(size))
+            least[use & (parts - heavy <= spare)] = w
+        chosen = weight >= least[t]
         keys.append(key[chosen])
         texts.append(t[chosen])
-        for i in np.flatnonzero(use & ~drop):  # too many sparse parts: the empty ones count, too
+        for i in np.flatnonzero(use & (least == 0)):  # the empty parts count, too
             absent = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[t == i])
             with np.errstate(over="ignore"):
                 keys.append(tk.mix(tk.mix((band[i : i + 1].astype(np.uint64) << np.uint64(44)) + absent + np.uint64(1))))
@@ -144,8 +181,9 @@ def _postings(hashes: np.ndarray, bounds: np.ndarray, p: int, q: int, low: np.nd
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _bucket_edges(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
+def _bucket_edges(docs: DataFrame, n: int, p: int, q: int, common: np.ndarray) -> DataFrame:
     """(x, h): document x is in a bucket whose smallest document is h < x."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common))  # COUNTERS bits
     low, places = _bands(), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +191,7 @@ def _bucket_edges(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
         held_k: list[np.ndarray] = []
         held_d: list[np.ndarray] = []
         held = 0
+        flags = np.unpackbits(sent.value).astype(bool)
 
         def flush():
             key, doc = np.concatenate(held_k), np.concatenate(held_d)
@@ -174,7 +213,7 @@ def _bucket_edges(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 order = np.lexsort((ids[i:j], k2, k1))
                 again = np.zeros(j - i, bool)
                 again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
-                key, text = _postings(hashes, bounds, p, q, low)
+                key, text = _postings(hashes, bounds, p, q, low, flags)
                 stay = (~again & known[i:j])[text] if known.all() else known[i:j][text]
                 held_k.append(key[stay])
                 held_d.append(ids[i:j][text[stay]])
@@ -200,10 +239,25 @@ def _bucket_edges(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
             new = np.concatenate([[True], key[1:] != key[:-1]])
             hub = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             edge = np.unique(np.stack([doc, hub], 1)[doc != hub], axis=0)
+            target = (tk.mix(edge[:, 0].view(np.uint64)) % np.uint64(places)).astype(np.int64)
+            edge = edge[np.argsort(target, kind="stable")]
+            cut = np.searchsorted(np.sort(target), np.arange(places + 1))
+            rows = [(i, edge[a:b].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["place", "edges"])
+
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents share many buckets: each edge once."""
+        by: dict[int, list] = {}
+        for batch in batches:
+            for place, edges in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                by.setdefault(place, []).append(np.frombuffer(edges.as_buffer(), np.int64).reshape(-1, 2).copy())
+        for place in list(by):
+            edge = np.unique(np.concatenate(by.pop(place)), axis=0)
             for i in range(0, len(edge), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(edge[i : i + 100_000, 0]), pa.array(edge[i : i + 100_000, 1])], ["x", "h"])
 
-    return docs.mapInArrow(scatter, "place int, keys binary, docs binary").repartition(places, "place").mapInArrow(gather, "x long, h long").distinct()
+    packed = docs.mapInArrow(scatter, "place int, keys binary, docs binary").repartition(places, "place").mapInArrow(gather, "place int, edges binary")
+    return packed.repartition(places, "place").mapInArrow(unique, "x long, h long")
 
 
 class Tree:
@@ -361,13 +415,14 @@ def _with_sets(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
 
     schema = f"x long, members binary, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kind.fields)}"
     text = docs.select(F.col("doc_id").alias("x"), "text")
-    return text.join(places, "x").select("x", "text", "at").mapInArrow(run, schema)
+    # always a shuffle of the texts: what would be broadcast grows with the input
+    return text.join(places.hint("merge"), "x").select("x", "text", "at").mapInArrow(run, schema)
 
 
-def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, scratch: Scratch, every: bool = False) -> DataFrame:
+def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, common: np.ndarray, scratch: Scratch, every: bool = False) -> DataFrame:
     """(u, v) between class representatives: all links (`every`), or enough of them to connect what is linked."""
     reps = classes.select(F.col("rep").alias("x"), F.col("n_shingles").alias("n"))
-    edges = scratch.table(_bucket_edges(docs, n, p, q).join(reps.select("x", "n"), "x"))
+    edges = scratch.table(_bucket_edges(docs, n, p, q, common).join(reps.select("x", "n"), "x"))
     member = edges.select("h", "x", "n").union(edges.select("h", F.col("h").alias("x"), F.lit(0).alias("n")).distinct())
     blocks = edges.groupBy("h").agg(F.greatest(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     member = member.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
@@ -391,16 +446,19 @@ def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, scratc
     def ordered(df: DataFrame, *key: str) -> DataFrame:
         return df.repartition(*key).sortWithinPartitions(*key)
 
-    found = scratch.table(ordered(_with_sets(docs, places, n), "h", "block").mapInArrow(solve, "u long, v long, kind int"))
+    arranged = _with_sets(docs, places, n)
+    several = bool(blocks.where("blocks > 1").limit(1).count())
+    if several:  # read again below
+        arranged = scratch.table(arranged)
+    found = scratch.table(ordered(arranged, "h", "block").mapInArrow(solve, "u long, v long, kind int"))
     out = found.where("kind = 0").select("u", "v")
-    if found.where("kind = 1").limit(1).count():
+    if several and found.where("kind = 1").limit(1).count():
         # what no hub connected, in chunks, against every other block of its group
         rest = found.where("kind = 1").select(F.col("u").alias("x"), F.col("v").alias("h"))
         chunks = rest.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("chunks"))
-        own = placed.where("x <> h")
-        cross = own.join(rest, ["x", "h"]).join(chunks, "h").select("x", "h", F.pmod(F.xxhash64("x", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-        cross = cross.union(own.join(chunks, "h").select("x", "h", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("side")))
-        places = cross.groupBy("x").agg(F.collect_list(F.struct("h", "chunk", "block", "side")).alias("at"))
+        own = arranged.where("x <> h and blocks > 1").join(chunks, "h")
+        cross = own.join(rest, ["x", "h"]).select("x", "members", "h", F.pmod(F.xxhash64("x", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+        cross = cross.union(own.select("x", "members", "h", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("side")))
 
         def solve_cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in _groups(batches, ["h", "chunk", "block"]):
@@ -411,7 +469,7 @@ def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, scratc
                 pairs = [(there[i], there[j]) for i, j in pairs if there[i] != there[j]]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
 
-        out = out.union(scratch.table(ordered(_with_sets(docs, places, n), "h", "chunk", "block").mapInArrow(solve_cross, "u long, v long")))
+        out = out.union(scratch.table(ordered(cross, "h", "chunk", "block").mapInArrow(solve_cross, "u long, v long")))
     if every:
         out = out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return out
@@ -429,19 +487,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, i
     """(members, pairs): the class `rep` of every document, and all links (u, v), u < v, between class representatives."""
     docs = _prepared(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sizes = scratch.table(sketch(docs, n))
+    sketched = scratch.table(sketch(docs, n))
+    sizes, common = sketched.where("chunk is null").drop("chunk", "counts"), _common(sketched)
     classes = _classes(sizes)
     members = sizes.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
-    return members, links(docs, n, p, q, classes=classes, scratch=scratch, every=True)
+    return members, links(docs, n, p, q, classes=classes, common=common, scratch=scratch, every=True)
 
 
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable by links of similarity p/q or more."""
     docs = _prepared(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sizes = scratch.table(sketch(docs, n))
+    sketched = scratch.table(sketch(docs, n))
+    sizes, common = sketched.where("chunk is null").drop("chunk", "counts"), _common(sketched)
     classes = _classes(sizes)
-    groups = scratch.table(connected_components(links(docs, n, p, q, classes=classes, scratch=scratch), "u", "v").where("id <> component"))
+    groups = scratch.table(connected_components(links(docs, n, p, q, classes=classes, common=common, scratch=scratch), "u", "v").where("id <> component"))
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return sizes.join(named, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
