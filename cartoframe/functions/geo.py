@@ -39,7 +39,7 @@ def haversine(lon1, lat1, lon2, lat2, radius: float = EARTH_KM) -> Column:
     """Great-circle distance in the unit of the radius."""
     lon1, lat1, lon2, lat2 = (F.col(x) if isinstance(x, str) else x for x in (lon1, lat1, lon2, lat2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * radius) * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def pairs(coords: Column, f) -> Column:
@@ -184,14 +184,18 @@ def pair_minimum_km(base_km: float, diagonal_km: Column) -> Column:
     return F.greatest(F.lit(5.0), F.lit(base_km) * region_scale(diagonal_km))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def clip_to_bbox(ring: Column, min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
     """A closed ring cut to a rectangle (four half-planes in turn); empty if nothing is left."""
     def half(points: Column, inside, cross) -> Column:
         def step(a, b):
             return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(cross(a, b))).when(inside(b), F.array(cross(a, b), b)).otherwise(F.expr("cast(array() as array<struct<lon:double,lat:double>>)"))
 
-        cut = F.flatten(pairs(points, step))
-        return F.when(F.size(cut) > 0, F.concat(F.slice(cut, F.lit(-1), F.lit(1)), cut)).otherwise(cut)
+        return let(F.flatten(let(points, lambda p: pairs(p, step))), lambda cut: F.when(F.size(cut) > 0, F.concat(F.slice(cut, F.lit(-1), F.lit(1)), cut)).otherwise(cut))
 
     def at_lon(v):
         return lambda a, b: F.struct(v.alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * (v - a["lon"]) / (b["lon"] - a["lon"])).alias("lat"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
 
@@ -28,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def shipped(query):
+    """The query, with this package on the path of a local session's Python workers.  On a cluster it is installed or sent with the job."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        sc = spark.sparkContext
+        if sc.master.startswith("local[") or sc.master == "local":
+            here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+            there = sc.environment.get("PYTHONPATH", "")
+            if here not in there.split(os.pathsep):
+                sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, there]))
+        return query(spark, *args)
+
+    return run
+
+
 class Scratch:
     """Parquet tables in the shared folder.  They survive lost executors and cut the lineage of what reads them.
 
