@@ -1,14 +1,14 @@
 """Toxicity by averaged subword embeddings under a linear softmax.
 
-Every word is a bag of character n-grams (with word bounds) and the word itself,
-hashed into a fixed table of embeddings.  A document is the average of its words'
+Every word is a bag of character n-grams (with word bounds), hashed into a fixed
+table of embeddings.  A document is the average of its words'
 bags; a linear softmax gives the class.  Embeddings and softmax are trained
 jointly in numpy on a bounded sample of labelled rows, so an unseen misspelling
 shares the vectors of its n-grams.
 
 A trained model is linear in the averages, so each n-gram has one number: the
 difference of the two classes' logits.  Scoring a document is one lookup per
-word, in a bounded table of words.
+n-gram, over arrays of code points, without a Python object per word.
 
 Defined cases: null and empty texts, or texts without words, score the bias
 alone (how often label 1 occurs).  Rows with several labels count as toxic if any
@@ -19,7 +19,6 @@ toxic labels (0 if there are none).
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that are fitted at most; texts of more characters are not in the sample.
-SAMPLE_ROWS, SAMPLE_LONGEST = 1500, 20_000
+#: Labelled rows that are fitted at most, of label 1 and (twice as many) of label 0; texts of more characters are not in the sample.
+SAMPLE_ROWS, SAMPLE_LONGEST = 1000, 20_000
 BUCKETS, DIM, MIN_N, MAX_N = 1 << 17, 8, 3, 5
-#: Words in the table of known contributions; it is emptied when full.
-KNOWN = 400_000
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -41,18 +38,25 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS(text.lower()) if text else []
 
 
-def _fnv(data: bytes) -> int:
-    h = 0x811C9DC5
-    for b in data:
-        h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-    return h
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: its n-grams of MIN_N to MAX_N characters between bounds, and the word itself."""
-    w = f"<{word[:64]}>" if len(word) <= 64 else f"<{word[:64]}"
-    grams = [w[i : i + n] for n in range(MIN_N, MAX_N + 1) for i in range(len(w) - n + 1)]
-    return [_fnv(g.encode()) % BUCKETS for g in [*grams, f"={word}"]]
+def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bucket, word number) of every n-gram of a text, and how many words it has."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+    points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le"), np.uint32)
+    owner = np.cumsum(points == ord("<"), dtype=np.int32) - 1
+    hashed, buckets, owners = points, [], []
+    with np.errstate(over="ignore"):
+        for n in range(2, MAX_N + 1):
+            hashed = hashed[:-1] * np.uint32(0x9E3779B1) + points[n - 1 :]
+            if n >= MIN_N:
+                inside = owner[: len(hashed)] == owner[n - 1 :]
+                h = hashed[inside] + np.uint32(n)
+                h ^= h >> np.uint32(15)
+                h *= np.uint32(0x85EBCA6B)
+                buckets.append(((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)).astype(np.int32))
+                owners.append(owner[: len(hashed)][inside])
+    return np.concatenate(buckets), np.concatenate(owners), len(words)
 
 
 @dataclass
@@ -62,65 +66,60 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def scorer(self):
-        weight, bias = self.weight, self.bias
-
-        class Known(dict):
-            def __missing__(self, word: str) -> float:
-                x = float(weight[subwords(word)].mean())
-                if len(self) >= KNOWN:
-                    self.clear()
-                self[word] = x
-                return x
-
-        get = Known().__getitem__
-
-        def score(text: str | None) -> float:
-            words = words_of(text)
-            z = bias + (sum(map(get, words)) / len(words) if words else 0.0)
-            return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-        return score
+    def score(self, text: str | None) -> float:
+        bucket, owner, n = ngrams(text)
+        z = self.bias
+        if n:
+            z += float((np.bincount(owner, self.weight[bucket], n) / np.bincount(owner, minlength=n)).mean())
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, weight, bounds) in rows: the averaged bag of each text."""
-    known: dict[str, list[int]] = {}
-    cols, weights, bounds = [], [], [0]
+def _bags(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, weights, bounds, document counts) of the texts' averaged bags; buckets in fewer than `least` texts are left out."""
+    cols, weights = [], []
     for text in texts:
-        count = Counter(words_of(text))
-        total = sum(count.values())
-        ids: list[int] = []
-        w: list[float] = []
-        for word, n in count.items():
-            if (own := known.get(word)) is None:
-                own = known[word] = subwords(word)
-            ids += own
-            w += [n / total / len(own)] * len(own)
-        index, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        cols.append(index)
-        weights.append(np.bincount(at, w, len(index)) if len(index) else np.zeros(0))
-        bounds.append(bounds[-1] + len(index))
-    return np.concatenate(cols), np.concatenate(weights), np.array(bounds)
-
-
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.5, seed: int = 1, prior: float | None = None) -> Model:
-    """Joint gradient descent (Adagrad) over embeddings and softmax; `prior` is the share of label 1 where it differs from the sample's."""
+        bucket, owner, n = ngrams(text)
+        share = (1 / np.bincount(owner, minlength=n) / max(1, n))[owner] if n else np.zeros(0)
+        index, at = np.unique(bucket, return_inverse=True)
+        cols.append(index.astype(np.int32))
+        weights.append(np.bincount(at, share, len(index)).astype(np.float32))
+    frequency = np.zeros(BUCKETS, np.int64)
+    for c in cols:
+        frequency[c] += 1
+    bounds = np.cumsum([0, *(int((frequency[c] >= least).sum()) for c in cols)])
+    all_cols, all_weights = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.float32)
+    for k in range(len(cols)):
+        keep = frequency[cols[k]] >= least
+        all_cols[bounds[k] : bounds[k + 1]], all_weights[bounds[k] : bounds[k + 1]] = cols[k][keep], weights[k][keep]
+        cols[k] = weights[k] = None
+    return all_cols, all_weights, bounds, frequency
+
+
+def train(texts: list[str], labels: list[int], steps: int = 280, rate: float = 0.3, decay: float = 3e-4, dropout: float = 0.3, scale: float = 60.0, seed: int = 1, prior: float | None = None) -> Model:
+    """Joint gradient descent (Adagrad, weight decay, dropout of n-grams) over embeddings and softmax.
+
+    An n-gram's share of a text is weighted with the logarithm of its inverse
+    document frequency; n-grams in very few texts are left out.  `prior` is the
+    share of label 1 where it differs from the sample's.
+    """
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         p = min(max(share if prior is None else prior, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    cols, weights, bounds = _bags(texts)
+    least = max(2, round(len(y) / 180))
+    cols, weights, bounds, frequency = _bags(texts, least)
     rng = np.random.default_rng(seed)
-    used, cols = np.unique(cols, return_inverse=True)
-    emb = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM))
+    used = np.flatnonzero(frequency >= least)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    cols = place[cols]
+    idf = (np.log(len(y) / np.maximum(1, frequency[used])) + 1).astype(np.float32) * np.float32(scale)
+    weights *= idf[cols]
+    emb = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, 2)), np.zeros(2)
-    # an n-gram's gradient is scaled by how much of the texts it makes up: a root of the inverse document frequency
-    frequency = np.bincount(cols, minlength=len(used)) / len(y)
-    scale = np.log(1 / frequency + 1)
-    weights = weights * scale[cols] * 30
     g_emb, g_soft, g_bias = np.full(len(used), 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    epochs = max(2, round(steps * 64 / len(y)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         step = rate * (1 - epoch / epochs)
@@ -128,7 +127,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
             rows = order[s : s + 64]
             at = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
             row = np.repeat(np.arange(len(rows)), bounds[rows + 1] - bounds[rows])
-            c, w = cols[at], weights[at]
+            stay = rng.random(len(at)) >= dropout
+            at, row = at[stay], row[stay]
+            c, w = cols[at], weights[at] / (1 - dropout)
             vec = w[:, None] * emb[c]
             hidden = np.stack([np.bincount(row, vec[:, d], len(rows)) for d in range(DIM)], 1)
             z = hidden @ soft + bias
@@ -141,7 +142,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
             d_soft = hidden.T @ prob + 1e-5 * soft
             index, inv = np.unique(c, return_inverse=True)
             push = w[:, None] * d_hidden[row]
-            d_emb = np.stack([np.bincount(inv, push[:, d], len(index)) for d in range(DIM)], 1)
+            d_emb = np.stack([np.bincount(inv, push[:, d], len(index)) for d in range(DIM)], 1) + decay * emb[index]
             g_emb[index] += (d_emb**2).mean(1)
             emb[index] -= step * d_emb / np.sqrt(g_emb[index])[:, None]
             g_soft += d_soft**2
@@ -150,7 +151,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
             g_bias += d_bias**2
             bias -= step * d_bias / np.sqrt(g_bias)
     weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = (emb @ (soft[:, 1] - soft[:, 0])) * scale * 30
+    weight[used] = (emb @ (soft[:, 1] - soft[:, 0])) * idf
     base = float(bias[1] - bias[0])
     if prior is not None:
         base += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
@@ -158,13 +159,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits at most `rows` labelled documents of each class (those of least hash of the id), none of more than SAMPLE_LONGEST characters."""
+    """Fits at most `rows` documents of label 1 and twice as many of label 0 (those of least hash of the id), none of more than SAMPLE_LONGEST characters."""
     marked = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     total = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total:
         return Model(np.zeros(BUCKETS, np.float32), -40.0)
-    chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
-    ids = chosen[0].union(chosen[1])  # at most 2 * rows rows: small enough to broadcast
+    chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows * (2 - y)) for y in (0, 1)]
+    ids = chosen[0].union(chosen[1])  # at most 3 * rows rows: small enough to broadcast
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", "y")
     found = found.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LONGEST)
     sample = sorted(((r.id, r.text or "", r.y) for r in found.collect()), key=lambda r: r[:2])
@@ -180,7 +181,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, text_c
     at, names = keep.index(text_col), [*keep, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = sent.value.scorer()
+        score = sent.value.score
         for batch in batches:
             scores = [score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
