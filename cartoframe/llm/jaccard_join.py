@@ -44,12 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoframe.llm import id_filter
 from cartoframe.llm import textkit as tk
 from cartoframe.operators.graph import connected_components
 from cartoframe.runtime import Scratch
 
 #: Sets in a block and set members in a block.
-BLOCK_SETS, BLOCK_MEMBERS = 512, 2_000_000
+BLOCK_SETS, BLOCK_MEMBERS = 2048, 2_000_000
 #: A node of the tree has so many children; bits of a token bitmap.
 FANOUT, BITS = 8, 1024
 #: Counters of the hashed n-gram counts, in so many rows; one above COMMON times the mean marks common n-grams.
@@ -199,6 +200,8 @@ def _bucket_edges(docs: DataFrame, n: int, p: int, q: int, common: np.ndarray) -
             order = np.argsort(place, kind="stable")
             key, doc, place = key[order], doc[order], place[order]
             cut = np.searchsorted(place, np.arange(places + 1))
+            # five bytes of the key; the place tells more of it
+            key = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, 3:]
             rows = [(i, key[a:b].tobytes(), doc[a:b].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["place", "keys", "docs"])
 
@@ -229,7 +232,9 @@ def _bucket_edges(docs: DataFrame, n: int, p: int, q: int, common: np.ndarray) -
         for batch in batches:
             for place, key, doc in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 a, b = by.setdefault(place, ([], []))
-                a.append(np.frombuffer(key.as_buffer(), np.uint64).copy())
+                wide = np.zeros((len(key.as_buffer()) // 5, 8), np.uint8)
+                wide[:, 3:] = np.frombuffer(key.as_buffer(), np.uint8).reshape(-1, 5)
+                a.append(wide.view(np.uint64).reshape(-1))
                 b.append(np.frombuffer(doc.as_buffer(), np.int64).copy())
         for place in list(by):
             a, b = by.pop(place)
@@ -285,6 +290,8 @@ class Tree:
 
 def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
     """Which node pairs may hold a link.  A set below node A sets at least (least weight of A) - (bits common to both ORs) bits that no set below B sets, and each such bit is a member that cannot be shared."""
+    if len(i) > 100_000:
+        return np.concatenate([_possible(a, b, i[k : k + 100_000], j[k : k + 100_000], p, q) for k in range(0, len(i), 100_000)])
     shared = np.bitwise_count(a[0][i] & b[0][j]).sum(1).astype(np.int64)
     most = np.minimum(a[2][i] - np.maximum(0, a[3][i] - shared), b[2][j] - np.maximum(0, b[3][j] - shared))
     union = np.maximum(a[1][i], most) + np.maximum(b[1][j], most) - most
@@ -414,7 +421,7 @@ def _with_sets(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["x", "members", *names])
 
     schema = f"x long, members binary, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kind.fields)}"
-    text = docs.select(F.col("doc_id").alias("x"), "text")
+    text, _ = id_filter.split(docs.select(F.col("doc_id").alias("x"), "text"), "x", id_filter.build(places.select("x")))
     # always a shuffle of the texts: what would be broadcast grows with the input
     return text.join(places.hint("merge"), "x").select("x", "text", "at").mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts of a batch are processed in runs of about this many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)

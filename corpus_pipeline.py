@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoframe.llm import decontaminate, jaccard_join, mixing, span_dedup, toxicity
+from cartoframe.llm import decontaminate, id_filter, jaccard_join, mixing, span_dedup, toxicity
 from cartoframe.runtime import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles and a similarity of 0.8, the one of least doc_id stays."""
     groups = jaccard_join.ngram_jaccard_components(docs, 5, 80, 100)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "copies").table(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    maybe, kept = id_filter.split(docs, "doc_id", id_filter.build(gone))
+    return kept.unionByName(maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
