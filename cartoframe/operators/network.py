@@ -75,14 +75,60 @@ def component_summary(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame
     return sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.round(F.max("n") / F.sum("n"), 4), F.lit(0.0)).alias("largest_fraction"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, paths: bool = False, u: str = "u", v: str = "v", cost: str = "length_m", max_rounds: int = 10_000) -> DataFrame:
-    """source, node, cost (and path): least costs from each source (column `source`), by joined relaxation of the frontier.
-
-    A round is one join of the nodes that improved with the edges and one
-    minimum; rounds end when nothing improves, or beyond the cutoff.  Equal costs
-    keep the path through the smaller node.
+#: Edges up to which a network is sent to every task.
+SENT_EDGES = 200_000
+
+
+def _by_heap(edges: list[tuple[int, int, float]], sources: DataFrame, cutoff: float | None, paths: bool) -> DataFrame:
+    """A heap-based search for each source, the sources spread over the tasks."""
+    import heapq
+
+    import pyarrow as pa
+
+    near: dict[int, list[tuple[int, float]]] = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    sent = sources.sparkSession.sparkContext.broadcast(near)
+
+    def run(batches):
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                best, done = {start: (0.0, (start,))}, []
+                heap = [(0.0, (start,), start)]
+                seen = set()
+                while heap:
+                    d, path, node = heapq.heappop(heap)
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    done.append((start, node, d, list(path)))
+                    for to, w in sent.value.get(node, ()):
+                        step = (d + w, (*path, to) if paths else path)
+                        if to not in seen and (cutoff is None or step[0] <= cutoff) and (to not in best or step < best[to]):
+                            best[to] = step
+                            heapq.heappush(heap, (*step, to))
+                columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True)]
+                names = ["source", "node", "cost", "path"]
+                yield pa.RecordBatch.from_arrays(columns[: 4 if paths else 3], names[: 4 if paths else 3])
+
+    each = sources.select(F.col("source").cast("long")).distinct()
+    return each.repartition("source").mapInArrow(run, "source long, node long, cost double" + (", path array<long>" if paths else ""))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, paths: bool = False, u: str = "u", v: str = "v", cost: str = "length_m", max_rounds: int = 10_000, sent_edges: int = SENT_EDGES) -> DataFrame:
+    """source, node, cost (and path): least costs from each source (column `source`); equal costs keep the smaller path.
+
+    A network of up to `sent_edges` edges is sent to the tasks, which search from
+    one source after the other.  A larger one is relaxed by joins: a round is one
+    join of the nodes that improved with the edges and one minimum; rounds end
+    when nothing improves, or beyond the cutoff.
     """
     scratch = Scratch(edges.sparkSession, "paths")
+    edges = scratch.table(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"), F.col(cost).cast("double").alias("length_m")).where("length_m is not null"))
+    u, v, cost = "u", "v", "length_m"
+    if sent_edges and edges.count() <= sent_edges:
+        return _by_heap([tuple(r) for r in edges.collect()], sources, cutoff, paths)
     both = scratch.table(edges.select(F.col(u).alias("node"), F.col(v).alias("to"), F.col(cost).cast("double").alias("w")).union(edges.select(F.col(v), F.col(u), F.col(cost).cast("double"))).where("w is not null"))
     path = [F.array("source").alias("path")] if paths else []
     best = scratch.table(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), *path))

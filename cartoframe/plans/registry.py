@@ -25,11 +25,12 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from cartoframe.plans import queries_core, queries_roads  # noqa: F401
+    from cartoframe.plans import queries_core, queries_more, queries_roads  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship query on a data folder."""
+    return queries()["flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
