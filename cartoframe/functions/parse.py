@@ -83,7 +83,7 @@ def slug(value: Column) -> Column:
 
 def tokens(value: Column, sep: str = ";") -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(value, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def replication_path(sequence: Column) -> Column:

@@ -51,7 +51,9 @@ def feature_json(df: DataFrame) -> DataFrame:
     geometry = F.when(F.col("coords").isNull(), F.lit("null")).otherwise(F.concat(F.lit('{"type":"'), F.col("gtype"), F.lit('","coordinates":'), shape, F.lit("}")))
     # explicit nulls among the properties stay
     tags = F.when(F.col("tags").isNull(), F.lit("{}")).otherwise(F.to_json("tags", {"ignoreNullFields": "false"}))
-    return df.select(F.concat(F.lit('{"type":"Feature","id":'), F.coalesce(F.to_json(F.struct(F.col("feature_id").cast("string").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("feature_id").cast("string").alias("x")))) - 6), F.lit("null")), F.lit(',"properties":'), tags, F.lit(',"geometry":'), geometry, F.lit("}")).alias("value"))
+    quoted = F.to_json(F.array(F.col("feature_id").cast("string")))
+    name = F.when(F.col("feature_id").isNull(), F.lit("null")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    return df.select(F.concat(F.lit('{"type":"Feature","id":'), name, F.lit(',"properties":'), tags, F.lit(',"geometry":'), geometry, F.lit("}")).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

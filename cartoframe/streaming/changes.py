@@ -111,14 +111,19 @@ class TagIndex:
         return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a timestamp with a zone: zone-less ones are taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes", time: str = "ts", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Extension: counts and sums in tumbling or sliding windows, with a watermark; the same on a stream and on a table."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = _marked(events, time, late)
     return marked.groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes", time: str = "ts", key: str = "user_id") -> DataFrame:
     """Extension: sessions of a key that end after a gap."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = _marked(events, time, late)
     return marked.groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
