@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from cartoframe.llm.toxicity import is_held_out
 
 #: Labelled texts of a language that a dictionary is made from at most, the bytes it holds, and the bytes each text gives.
-SAMPLE_ROWS, DICTIONARY, PER_TEXT = 200, 96 << 10, 2 << 10
-PIECE, LEVEL = 4 << 10, 3
+SAMPLE_ROWS, DICTIONARY, PER_TEXT = 1000, 512 << 10, 2 << 10
+PIECE = 4 << 10
+#: Compression levels by bytes of the text: (fewer than, level).  Short texts need another parse to tell sizes apart.
+LEVELS = ((100, 3), (600, 12), (1 << 62, 5))
 
 _LETTER = re.compile(r"[^\W\d_]").search
 
@@ -52,10 +54,13 @@ class Classifier:
 
         self.langs = sorted(dictionaries)
         self.by = []
-        for lang in self.langs:
-            d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.by.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+        for most, level in LEVELS:
+            own = []
+            for lang in self.langs:
+                d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                own.append(zstd.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+            self.by.append((most, own))
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, margin)"""
@@ -63,7 +68,8 @@ class Classifier:
             return "und", 0.0
         raw = _clean(text).encode()
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        sizes = [sum(len(compress(p)) for p in pieces) for compress in self.by]
+        own = next(c for most, c in self.by if len(raw) < most)
+        sizes = [sum(len(compress(p)) for p in pieces) for compress in own]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = [s for i, s in enumerate(sizes) if i != best]
         return self.langs[best], min(1.0, (min(others) - sizes[best]) / sizes[best]) if others else 1.0
