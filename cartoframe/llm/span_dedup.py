@@ -1,6 +1,6 @@
 """Removal of repeated sentence spans.
 
-A text is cut into sentences (at . ! ? before white space, and at line ends) and
+A text is cut into sentences (at . ! ? before anything but a word's character, and at line ends) and
 each sentence into normalised words.  From every sentence on, the shortest run of
 several consecutive sentences with at least `words` words is hashed.  Equal runs
 are joined globally; the first occurrence is the one of least (doc_id, place),
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from cartoframe.llm import textkit as tk
 
 NO_ID = (1 << 63) - 1
-_SPACE = tk.lut(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
+_OUTSIDE = tk.lut(lambda b: not (tk.ALNUM_WORDS[b] or 0x41 <= b <= 0x5A))
 _STOP = tk.lut(lambda b: b in b".!?")
 
 
@@ -45,7 +45,7 @@ class Sentences:
         ends = np.zeros(n + 1, np.int64)
         if n:
             follows = np.ones(n, bool)
-            follows[:-1] = _SPACE[data[1:]]
+            follows[:-1] = _OUTSIDE[data[1:]]
             cut = (_STOP[data] & follows) | (data == 0x0A)
             np.cumsum(cut, out=ends[1:])
         part = ends[words.start]
@@ -161,7 +161,7 @@ def _repeats(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     return docs.mapInArrow(scatter, "target int, firsts binary, settled binary").repartition(places, "target").mapInArrow(gather, "id long, fingerprint long, places binary")
 
 
-def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated spans cut from the text, and n_sentences, n_removed, removed (byte spans of the old text)."""
     base = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed", "__id", "__at")]
     kinds = docs.select(*base).schema
@@ -208,6 +208,6 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 20,
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document without repeated runs of two or more sentences and 20 or more words."""
+    """Every document without repeated runs of two or more sentences and 10 or more words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_spans(docs).select("doc_id", "text", "n_sentences", "n_removed", "removed")
