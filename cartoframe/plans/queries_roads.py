@@ -265,7 +265,13 @@ def _(spark, d):
     return transit.route_lines(feed(spark, d), "k").select("route_id", "point_count", F.round(G.line_length(F.col("coords")), 4).alias("km"))
 
 
-@query("transit_report")
+_LABEL = "CASE k WHEN 0 THEN 'Tram' WHEN 1 THEN 'Subway' WHEN 2 THEN 'Rail' WHEN 3 THEN 'Bus' WHEN 4 THEN 'Ferry' WHEN 5 THEN 'Cable Tram' WHEN 6 THEN 'Aerial Lift' WHEN 7 THEN 'Funicular' WHEN 11 THEN 'Trolleybus' WHEN 12 THEN 'Monorail' ELSE 'Type ' || k END"
+
+
+@query("transit_report", _FREQ + f""", lb AS (SELECT {_LABEL} || ': ' || count(*) AS x FROM (SELECT range % 14 AS k FROM range(60)) GROUP BY k)
+SELECT (SELECT count(*) FROM geo_refs WHERE ref_id % 9 <> 0) AS stop_count, 60 AS route_count, (SELECT count(*) FROM orders) AS trip_count, (SELECT string_agg(x, ', ' ORDER BY x) FROM lb) AS routes_by_type,
+(SELECT round(min(lat), 6) FROM geo_refs WHERE ref_id % 9 <> 0) AS bbox_min_lat, (SELECT round(min(lon), 6) FROM geo_refs WHERE ref_id % 9 <> 0) AS bbox_min_lon, (SELECT round(max(lat), 6) FROM geo_refs WHERE ref_id % 9 <> 0) AS bbox_max_lat, (SELECT round(max(lon), 6) FROM geo_refs WHERE ref_id % 9 <> 0) AS bbox_max_lon,
+(SELECT round(avg(trips_per_day), 1) FROM q) AS avg_trips_per_day, (SELECT max(trips_per_day) FROM q) AS max_trips_per_day, (SELECT count(DISTINCT o_custkey % 60) FROM orders WHERE o_orderkey % 3 <> 0) AS routes_with_lines""")
 def _(spark, d):
     return transit.report(feed(spark, d))
 
@@ -334,25 +340,27 @@ def _(spark, d):
     return network.connected_components(e, "u", "v")
 
 
-_PATHS = _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, e2 AS (SELECT u AS a, v AS b, length_m FROM ed UNION ALL SELECT v, u, length_m FROM ed), s AS (SELECT DISTINCT u AS source FROM ed ORDER BY u LIMIT 3),
-w AS (SELECT source, source AS node, 0e0 AS cost, 0 AS hops FROM s UNION SELECT w.source, e2.b, w.cost + e2.length_m, hops + 1 FROM w JOIN e2 ON e2.a = w.node WHERE hops < 7 AND w.cost + e2.length_m <= 1500000) SELECT source, node, round(min(cost), 3) AS cost FROM w GROUP BY source, node"""
+_PATHS = _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, e2 AS (SELECT u AS a, v AS b, length_m FROM ed UNION ALL SELECT v, u, length_m FROM ed), s AS (@sources@),
+w(source, node, cost) USING KEY (source, node) AS (SELECT source, source, 0e0 FROM s UNION SELECT p.source, e2.b, min(p.cost + e2.length_m) FROM w p JOIN e2 ON e2.a = p.node LEFT JOIN recurring.w r ON r.source = p.source AND r.node = e2.b WHERE r.cost IS NULL OR p.cost + e2.length_m < r.cost GROUP BY p.source, e2.b)"""
+_THREE = _PATHS.replace("@sources@", "SELECT DISTINCT u AS source FROM ed ORDER BY u LIMIT 3")
+_SNAPPED = _PATHS.replace("@sources@", "SELECT DISTINCT node_id AS source FROM sn").replace(", e2 AS", f""", sn AS (SELECT point_id, node_id FROM (SELECT r.ref_id AS point_id, n.node_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY {hav('r.lon', 'r.lat', 'n.lon', 'n.lat')}, n.node_id) AS k FROM geo_refs r, geo_nodes n WHERE r.ref_id < 6 AND n.node_id IN (SELECT u FROM ed)) WHERE k = 1), e2 AS""", 1).replace("WITH RECURSIVE ", ctes("geo_refs").replace("WITH ", "WITH RECURSIVE ", 1) + ", ", 1)
 
 
-@query("shortest_paths")
+@query("shortest_paths", _THREE + " SELECT source, node, round(cost, 3) AS cost FROM w")
 def _(spark, d):
     e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
     sources = e.select(F.col("u").alias("source")).distinct().orderBy("source").limit(3)
     return network.shortest_paths(e, sources).withColumn("cost", F.round("cost", 3))
 
 
-@query("isochrone_nodes")
+@query("isochrone_nodes", _THREE + """ SELECT source, l AS "limit", node, round(cost, 3) AS cost, lon, lat FROM w JOIN geo_nodes ON node = node_id, (SELECT unnest([400000e0, 800000e0]) AS l) WHERE cost <= l""")
 def _(spark, d):
     e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
     sources = e.select(F.col("u").alias("source")).distinct().orderBy("source").limit(3)
     return network.isochrone(e, sources, (400_000.0, 800_000.0), layer(spark, d, "geo_nodes")).withColumn("cost", F.round("cost", 3))
 
 
-@query("route_matrix")
+@query("route_matrix", _SNAPPED + """ SELECT a.point_id AS "from", b.point_id AS "to", round(coalesce(w.cost/1000, -1), 4) AS distance_km FROM sn a JOIN sn b ON a.point_id <> b.point_id LEFT JOIN w ON w.source = a.node_id AND w.node = b.node_id""")
 def _(spark, d):
     e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
     at = layer(spark, d, "geo_nodes").join(e.select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi")
@@ -403,14 +411,16 @@ def _(spark, d):
 
 @query("cell_budgets")
 def _(spark, d):
+    """Total length over all cells of a zoom is the length of all edges."""
     lines = way_lines(spark, d).where("way_id % 20 = 0").select(F.col("way_id").alias("edge_id"), "coords", (G.line_length(F.col("coords")) * 1000).alias("length_m"))
     cells = importance.edge_cells(lines, 100.0, 20000.0)
     return importance.cell_budgets(cells, dict.fromkeys(importance.ZOOMS, 500.0), 10000.0).withColumn("road_km", F.round("road_km", 4))
 
 
-@query("corridors")
+@query("corridors", _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, ce AS (SELECT u*100000 + v AS id, u, v, u % 3 AS t FROM ed), l AS (SELECT a.id AS x, b.id AS y FROM ce a JOIN ce b ON a.t = b.t AND a.id <> b.id AND (a.u IN (b.u, b.v) OR a.v IN (b.u, b.v))),
+rc AS (SELECT id, id AS r FROM ce UNION SELECT l.y, rc.r FROM rc JOIN l ON l.x = rc.id) SELECT id AS edge_id, min(r) AS corridor FROM rc GROUP BY id""")
 def _(spark, d):
-    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes")).withColumn("edge_id", F.xxhash64("u", "v"))
+    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes")).withColumn("edge_id", F.col("u") * 100000 + F.col("v"))
     e = e.withColumn("ref", F.concat(F.lit("R"), (F.col("u") % 3).cast("string"))).withColumn("name", F.lit(""))
     return importance.corridors(e)
 
