@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from cartoframe.functions import geo as G
 from cartoframe.operators import distance as D
-from cartoframe.operators.graph import connected_components
+from cartoframe.operators import graph
 from cartoframe.runtime import Scratch
 
+#: Edges up to which a network is sent to every task, or solved in one.
+SENT_EDGES = 200_000
+
 __all__ = ["approx_route", "build_by_nodes", "build_by_coordinates", "component_summary", "connected_components", "convex_hulls", "decision_nodes", "isochrone", "logical_edges", "map_match", "nearest_node", "route_matrix", "shortest_paths", "spans", "trip_estimate"]
 
 
+def connected_components(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
+    """(id, component) of a road graph."""
+    return graph.connected_components(edges, u, v, one_task_edges=SENT_EDGES)
+
+
 def vertices(refs: DataFrame) -> DataFrame:
     """(node_id): used by two ways or more, or at an end of one.  refs: way_id, pos, node_id."""
     ends = refs.groupBy("way_id").agg(F.min_by("node_id", "pos").alias("a"), F.max_by("node_id", "pos").alias("b")).select(F.explode(F.array("a", "b")).alias("node_id"))
@@ -75,10 +83,6 @@ def component_summary(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame
     return sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.round(F.max("n") / F.sum("n"), 4), F.lit(0.0)).alias("largest_fraction"))
 
 
-#: Edges up to which a network is sent to every task.
-SENT_EDGES = 200_000
-
-
 def _by_heap(edges: list[tuple[int, int, float]], sources: DataFrame, cutoff: float | None, paths: bool) -> DataFrame:
     """A heap-based search for each source, the sources spread over the tasks."""
     import heapq
