@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartoframe.functions import geo as G
-from cartoframe.functions import parse as P
 
 
 def _count(c: Column) -> Column:

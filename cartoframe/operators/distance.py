@@ -63,7 +63,8 @@ def within(subject: DataFrame, reference: DataFrame, d_km: float, max_abs_lat: f
     return out.where(F.col("distance_km") <= d_km).drop("__x", "__y")
 
 
-def _first_radius(n_subject: int, extent_km2: float, n_ref: int, k: int) -> float:
+def _first_radius(extent_km2: float, n_ref: int, k: int) -> float:
+    """A radius in which k of evenly spread references are likely."""
     return max(0.05, 1.2 * math.sqrt(4 * k * max(extent_km2, 1e-6) / (math.pi * max(1, n_ref))))
 
 
@@ -80,7 +81,7 @@ def k_nearest(subject: DataFrame, reference: DataFrame, k: int, key: str, ref_or
         return ranked(within(todo, located, 1.0, 0.0, radius))
     high = _max_abs_lat(todo.select("lat").union(located.select("lat")))
     width = (x1 - x0) * math.cos(math.radians((y0 + y1) / 2)) * G.KM_PER_DEGREE
-    r = _first_radius(0, max(1.0, width) * max(1.0, (y1 - y0) * G.KM_PER_DEGREE), n, k)
+    r = _first_radius(max(1.0, width) * max(1.0, (y1 - y0) * G.KM_PER_DEGREE), n, k)
     scratch, parts = Scratch(subject.sparkSession, "nearest"), []
     want = min(k, n)
     while True:

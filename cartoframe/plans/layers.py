@@ -23,10 +23,6 @@ SQL = {
 }
 
 
-def _cast(sql: str) -> str:
-    return re.sub(r"varchar\(20\)", "varchar(20)", sql)
-
-
 def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SQL[name]
     table = re.search(r"from (\w+)$", sql)[1]
