@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def _try(c: Column, kind: str) -> Column:
     return c.try_cast(kind)
 
@@ -103,9 +104,9 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(v) != "", v) for v in values])
 
 
-def country(tags: Column, keys: tuple[str, ...] = ("addr:country", "is_in:country", "country", "is_in:country_code")) -> Column:
+def country(tags: Column, keys: tuple[str, ...] = ("addr:country", "is_in:country", "ISO3166-1", "country")) -> Column:
     """The first filled of the keys, else the last part of is_in."""
-    last = F.trim(F.element_at(F.split(tags["is_in"], "[,;]"), -1))
+    last = F.get(F.reverse(tokens(tags["is_in"], ",")), F.lit(0))
     return first_filled(*[tags[k] for k in keys], last)
 
 

@@ -129,11 +129,15 @@ def exposure_stats(df: DataFrame) -> DataFrame:
     return base.select("total_sites", "matched_sites", "high_count", "medium_count", "low_count", pct("high"), pct("medium"), pct("low"), avg, F.round("min_pm25", 2).alias("min_pm25"), F.round("max_pm25", 2).alias("max_pm25"))
 
 
+# Spans in degrees beyond which a zoom level is taken.
+ZOOM_SPANS = ((100, 2), (50, 3), (20, 4), (10, 5), (5, 6), (2, 7), (1, 8), (0.5, 9), (0.2, 10), (0.1, 11), (0.05, 12))
+
+
 def bounds_and_zoom(df: DataFrame) -> DataFrame:
-    """Box, centre and the zoom level whose span first covers it."""
+    """Box, centre and zoom level; without anything located, level 4."""
     box = df.agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
     span = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
     zoom = None
-    for limit, z in ((0.01, 15), (0.05, 13), (0.1, 12), (0.5, 10), (1.0, 9), (5.0, 7), (10.0, 6), (50.0, 4)):
-        zoom = F.when(span < limit, z) if zoom is None else zoom.when(span < limit, z)
-    return box.select("*", ((F.col("min_lon") + F.col("max_lon")) / 2).alias("centre_lon"), ((F.col("min_lat") + F.col("max_lat")) / 2).alias("centre_lat"), zoom.otherwise(2).cast("int").alias("zoom"))
+    for limit, z in ZOOM_SPANS:
+        zoom = F.when(span > limit, z) if zoom is None else zoom.when(span > limit, z)
+    return box.select("*", ((F.col("min_lon") + F.col("max_lon")) / 2).alias("centre_lon"), ((F.col("min_lat") + F.col("max_lat")) / 2).alias("centre_lat"), F.when(span.isNull(), 4).otherwise(zoom.otherwise(13)).cast("int").alias("zoom"))

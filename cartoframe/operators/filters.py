@@ -237,7 +237,7 @@ ROUTE_MODES = {
     "hiking": ("hiking", "foot", "walking"),
     "train": ("train", "railway", "light_rail", "subway", "tram"),
     "bus": ("bus", "trolleybus"),
-    "public_transport": ("bus", "trolleybus", "train", "light_rail", "subway", "tram", "ferry", "monorail"),
+    "public_transport": ("train", "railway", "light_rail", "subway", "tram", "bus", "trolleybus", "ferry"),
 }
 
 
@@ -251,7 +251,11 @@ def routes_by_type(df: DataFrame, mode: str, network: str = "*", tags: str = "ta
 
 
 # Tags of natural boundaries.
-NATURAL = {"lake": (("natural", "water"), ("water", "lake")), "forest": (("landuse", "forest"), ("natural", "wood")), "park": (("leisure", "park"), ("boundary", "national_park"))}
+NATURAL = {
+    "water": {"natural": ("water",), "water": ("lake", "reservoir", "pond")},
+    "forest": {"natural": ("wood",), "landuse": ("forest",)},
+    "park": {"leisure": ("park", "nature_reserve"), "boundary": ("national_park",)},
+}
 ADMIN_LEVELS = {"country": 2, "state": 4, "county": 6, "city": 8}
 
 
@@ -262,7 +266,7 @@ def admin_boundaries(df: DataFrame, level: int | str, tags: str = "tags") -> Dat
 
 
 def natural_boundaries(df: DataFrame, kind: str, tags: str = "tags") -> DataFrame:
-    return df.where(functools.reduce(operator.or_, [F.coalesce(F.col(tags)[k] == v, F.lit(False)) for k, v in NATURAL[kind]]))
+    return df.where(functools.reduce(operator.or_, [F.coalesce(F.col(tags)[k].isin(*v), F.lit(False)) for k, v in NATURAL[kind].items()]))
 
 
 def attribute_equals(df: DataFrame, column: str, value) -> DataFrame:

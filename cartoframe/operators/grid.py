@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from cartoframe.functions import geo as G
 
-# Metres of a degree in transit grids, and the number of cells at which they coarsen.
+# Kilometres of a degree in heat maps, metres of one in transit grids, and the number of cells at which those coarsen.
+HEAT_KM_PER_DEGREE = 111.0
 TRANSIT_M_PER_DEGREE = 111_132.0
 MAX_CELLS = 10_000
 
 
 def heat_cells(df: DataFrame, cell_km: float) -> DataFrame:
     """cell_x, cell_y, lon, lat (means), n.  A cell's width follows each point's own latitude."""
-    dlat = cell_km / (G.M_PER_DEGREE / 1000)
-    dlon = F.lit(cell_km) / (F.lit(G.M_PER_DEGREE / 1000) * F.greatest(F.lit(0.01), F.cos(F.radians("lat"))))
+    dlat = cell_km / HEAT_KM_PER_DEGREE
+    dlon = F.lit(cell_km) / (F.lit(HEAT_KM_PER_DEGREE) * F.greatest(F.lit(0.1), F.cos(F.radians("lat"))))
     return df.where("lon is not null and lat is not null").groupBy(F.floor(F.col("lon") / dlon).alias("cell_x"), F.floor(F.col("lat") / dlat).alias("cell_y")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count(F.lit(1)).alias("n"))
 
 

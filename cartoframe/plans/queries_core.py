@@ -266,7 +266,7 @@ def _(spark, d):
 # --- grids -----------------------------------------------------------------------------------------
 
 
-@query("heat_grid", ctes("geo_points") + " SELECT CAST(floor(lon / (20e0/(111.32e0*greatest(0.01e0, cos(radians(lat)))))) AS BIGINT) AS cell_x, CAST(floor(lat / (20e0/111.32e0)) AS BIGINT) AS cell_y, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat, count(*) AS n FROM geo_points GROUP BY 1, 2")
+@query("heat_grid", ctes("geo_points") + " SELECT CAST(floor(lon / (20e0/(111e0*greatest(0.1e0, cos(radians(lat)))))) AS BIGINT) AS cell_x, CAST(floor(lat / (20e0/111e0)) AS BIGINT) AS cell_y, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat, count(*) AS n FROM geo_points GROUP BY 1, 2")
 def _(spark, d):
     return grid.heat_cells(layer(spark, d, "geo_points"), 20.0).withColumn("lon", F.round("lon", 9)).withColumn("lat", F.round("lat", 9))
 
@@ -300,7 +300,7 @@ _TIER = ctes("geo_points") + ", t AS (SELECT *, CASE WHEN population >= 800000 T
 _TIERS = ((800_000, 3), (400_000, 6), (100_000, 8), (10_000, 10))
 
 
-@query("tier_cities", _TIER + ", r AS (SELECT *, greatest(0.5e0, least(50e0, sqrt(population/1000e0/pi()))) AS radius_km FROM t WHERE zoom IS NOT NULL) SELECT feature_id, zoom, round(radius_km, 6) AS radius_km, round(lon - radius_km/111.19e0/cos(radians(lat)), 6) AS min_lon, round(lat + radius_km/111.19e0, 6) AS max_lat FROM r")
+@query("tier_cities", _TIER + ", r AS (SELECT *, greatest(0.5e0, least(50e0, sqrt(population/5000e0/pi()))) AS radius_km FROM t WHERE zoom IS NOT NULL) SELECT feature_id, zoom, round(radius_km, 6) AS radius_km, round(lon - radius_km/(111e0*cos(radians(lat))), 6) AS min_lon, round(lat + radius_km/111e0, 6) AS max_lat FROM r")
 def _(spark, d):
     t = ranking.tier_cities(layer(spark, d, "geo_points"), _TIERS, "population")
     return t.select("feature_id", "zoom", *[F.round(c, 6).alias(c) for c in ("radius_km", "min_lon", "max_lat")])

@@ -151,7 +151,7 @@ def _(spark, d):
     return workflows.places_beyond_reach(places, layer(spark, d, "geo_refs"), 30, 1000).select("feature_id")
 
 
-@query("amenity_heatmap", ctes("geo_places") + " SELECT CAST(floor(lon / (50e0/(111.32e0*greatest(0.01e0, cos(radians(lat)))))) AS BIGINT) AS cell_x, CAST(floor(lat / (50e0/111.32e0)) AS BIGINT) AS cell_y, count(*) AS n FROM geo_places WHERE place = 'city' OR contains(lower(population), 'know') GROUP BY 1, 2")
+@query("amenity_heatmap", ctes("geo_places") + " SELECT CAST(floor(lon / (50e0/(111e0*greatest(0.1e0, cos(radians(lat)))))) AS BIGINT) AS cell_x, CAST(floor(lat / (50e0/111e0)) AS BIGINT) AS cell_y, count(*) AS n FROM geo_places WHERE place = 'city' OR contains(lower(population), 'know') GROUP BY 1, 2")
 def _(spark, d):
     places = tagged(layer(spark, d, "geo_places"), "place", "population")
     return workflows.amenity_heatmap(places, "place=city|population~KNOW", 50.0).select("cell_x", "cell_y", "n")

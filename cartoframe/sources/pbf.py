@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartoframe.operators.filters import tag_query
+
 ELEMENTS = "osm_type string, id long, version int, lon double, lat double, tags map<string,string>, node_refs array<long>, members array<struct<type:string,ref:long,role:string>>"
 
 
@@ -158,27 +160,38 @@ def read_pbf(spark: SparkSession, path: str, partitions: int | None = None) -> D
     return files.mapInArrow(cut, "blob binary").repartition(n).mapInArrow(decode, ELEMENTS)
 
 
-# What belongs to each category: element types and key or key=value terms, any of which is enough.
+# What belongs to each category, as terms of element types, key and values.
 CATEGORIES = {
-    "water": ("wr", ("natural=water", "waterway", "landuse=reservoir")), "protected_areas": ("wr", ("boundary=protected_area", "boundary=national_park", "leisure=nature_reserve")), "parks": ("wr", ("leisure=park", "leisure=garden")),
-    "forests": ("wr", ("landuse=forest", "natural=wood")), "roads_routable": ("w", ("highway",)), "turn_restrictions": ("r", ("type=restriction",)), "railways_routable": ("w", ("railway",)), "cycle_routes": ("wr", ("route=bicycle", "route=mtb", "highway=cycleway")),
-    "hiking_routes": ("wr", ("route=hiking", "route=foot")), "food": ("nw", ("amenity=restaurant", "amenity=cafe", "amenity=bar", "amenity=pub", "amenity=fast_food")), "healthcare": ("nw", ("amenity=hospital", "amenity=clinic", "amenity=doctors", "amenity=dentist", "amenity=pharmacy", "healthcare")),
-    "education": ("nw", ("amenity=school", "amenity=university", "amenity=college", "amenity=kindergarten", "amenity=library")), "government": ("nw", ("office=government", "amenity=townhall", "amenity=courthouse")), "public_transport": ("nwr", ("public_transport", "highway=bus_stop", "railway=station")),
-    "culture": ("nw", ("tourism=museum", "tourism=gallery", "amenity=theatre", "amenity=arts_centre")), "religion": ("nw", ("amenity=place_of_worship",)), "sports": ("nw", ("leisure=sports_centre", "leisure=stadium", "leisure=pitch", "sport")), "shopping": ("nw", ("shop",)),
-    "accommodation": ("nw", ("tourism=hotel", "tourism=motel", "tourism=hostel", "tourism=guest_house", "tourism=camp_site")), "finance": ("nw", ("amenity=bank", "amenity=atm", "amenity=bureau_de_change")), "fuel_charging": ("nw", ("amenity=fuel", "amenity=charging_station")),
-    "parking": ("nw", ("amenity=parking", "amenity=bicycle_parking")), "entertainment": ("nw", ("amenity=cinema", "amenity=nightclub", "amenity=casino", "leisure=amusement_arcade")), "toilets": ("nw", ("amenity=toilets",)), "emergency": ("nw", ("amenity=police", "amenity=fire_station", "emergency")),
-}
+    "water": "nwr/natural=water nwr/waterway=river,stream,canal,drain,ditch nwr/water",
+    "protected_areas": "r/boundary=national_park,protected_area nwr/leisure=nature_reserve",
+    "parks": "nwr/leisure=park,playground,pitch,sports_centre,stadium,garden",
+    "forests": "nwr/natural=wood nwr/landuse=forest",
+    "roads_routable": "nwr/highway",
+    "turn_restrictions": "r/type=restriction",
+    "railways_routable": "nwr/railway=rail,light_rail,subway,tram,narrow_gauge,funicular,monorail",
+    "cycle_routes": "r/route=bicycle,mtb",
+    "hiking_routes": "r/route=hiking,foot",
+    "food": "nwr/amenity=restaurant,cafe,bar,pub,fast_food,biergarten,food_court,ice_cream",
+    "healthcare": "nwr/amenity=hospital,clinic,pharmacy,doctors,dentist,veterinary nwr/healthcare",
+    "education": "nwr/amenity=school,university,college,kindergarten,library,childcare,music_school,driving_school,language_school",
+    "government": "nwr/amenity=townhall,courthouse,police,fire_station,post_office,embassy,public_building nwr/office=government",
+    "public_transport": "nwr/public_transport nwr/amenity=bus_station,ferry_terminal nwr/highway=bus_stop nwr/railway=station,halt,tram_stop,subway_entrance",
+    "culture": "nwr/tourism=museum,gallery,artwork,attraction,viewpoint nwr/amenity=arts_centre,theatre,community_centre,planetarium nwr/historic",
+    "religion": "nwr/amenity=place_of_worship",
+    "sports": "nwr/leisure=sports_centre,stadium,pitch,fitness_centre,swimming_pool,ice_rink,track,golf_course,sports_hall",
+    "shopping": "nwr/shop",
+    "accommodation": "nwr/tourism=hotel,motel,hostel,guest_house,chalet,apartment,camp_site,caravan_site,alpine_hut,wilderness_hut",
+    "finance": "nwr/amenity=bank,atm,bureau_de_change",
+    "fuel_charging": "nwr/amenity=fuel,charging_station",
+    "parking": "nwr/amenity=parking,bicycle_parking,motorcycle_parking",
+    "entertainment": "nwr/amenity=cinema,theatre,nightclub,casino,events_venue nwr/leisure=escape_game,amusement_arcade,bowling_alley",
+    "toilets": "nwr/amenity=toilets,shower,drinking_water",
+    "emergency": "nwr/emergency nwr/amenity=fire_station,police",
+}
 
 
 def in_category(name: str, tags: str = "tags", kind: str = "osm_type"):
-    types, terms = CATEGORIES[name]
-    names = {"n": "node", "w": "way", "r": "relation"}
-    hit = None
-    for t in terms:
-        key, _, value = t.partition("=")
-        one = F.coalesce(F.col(tags)[key] == value, F.lit(False)) if value else F.coalesce(F.map_contains_key(tags, key), F.lit(False))
-        hit = one if hit is None else hit | one
-    return F.col(kind).isin(*[names[c] for c in types]) & hit
+    return tag_query(CATEGORIES[name], tags, kind)
 
 
 def categorised(df: DataFrame, names: tuple[str, ...] = tuple(CATEGORIES)) -> DataFrame:
