@@ -75,21 +75,31 @@ def reverse_geocode(points: DataFrame, gazetteer: DataFrame, key: str, place_key
 
 
 def normalise_term(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    """Lower case; separators and white space are single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", " "))
 
 
-def match_vocabulary(terms: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
-    """query, key, value, confidence: 1 the value, .9 a synonym, .65 all words of the query in the value's or its synonyms', .5 a part of it or the other way round.
+def match_vocabulary(terms: DataFrame, vocabulary: DataFrame, key: str | None = None, limit: int | None = None) -> DataFrame:
+    """query, key, value, confidence, rank of what a query may mean: the best of a value and its synonyms.
 
-    vocabulary: key, value, synonyms.  Its size is that of a tag dictionary; it is
-    the side to broadcast if it is under Spark's threshold.
+    1 for the value itself, .9 for a synonym, .65 if all words of the query are
+    in the term, .5 if one is a part of the other.  vocabulary: key, value,
+    synonyms.  Its size is that of a tag dictionary; it is the side to broadcast
+    if it is under Spark's threshold.
     """
     v = vocabulary.select("key", "value", normalise_term(F.col("value")).alias("v"), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), normalise_term).alias("s"))
+    if key:
+        v = v.where(F.col("key") == key.strip().lower())
     q = terms.select("query", normalise_term(F.col("query")).alias("q")).where("q <> ''")
-    words = v.withColumn("w", F.array_distinct(F.flatten(F.transform(F.concat(F.array("v"), F.col("s")), lambda x: F.split(x, " ")))))
-    scored = q.join(words, F.lit(True)).withColumn("confidence", F.when(F.col("q") == F.col("v"), 1.0).when(F.array_contains("s", F.col("q")), 0.9).when(F.size(F.array_except(F.split("q", " "), F.col("w"))) == 0, 0.65).when(F.col("v").contains(F.col("q")) | F.col("q").contains(F.col("v")), 0.5)).where("confidence is not null")
-    order = Window.partitionBy("query").orderBy(F.desc("confidence"), "key", "value")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
+
+    def one(t: Column) -> Column:
+        inside = F.size(F.array_except(F.split("q", " "), F.split(t, " "))) == 0
+        return F.when(F.col("q") == t, F.when(t == F.col("v"), 1.0).otherwise(0.9)).when(inside, 0.65).when(t.contains(F.col("q")) | F.col("q").contains(t), 0.5).otherwise(0.0)
+
+    known = v.withColumn("t", F.filter(F.concat(F.array("v"), F.col("s")), lambda x: x != ""))
+    scored = q.join(known, F.lit(True)).withColumn("confidence", F.array_max(F.transform("t", one))).where("confidence > 0")
+    scored = scored.groupBy("query", "key", "value").agg(F.max("confidence").alias("confidence"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("confidence"), "key", "value")))
     return (ranked.where(F.col("rank") <= limit) if limit else ranked).select("query", "key", "value", "confidence", "rank")
 
 

@@ -170,12 +170,13 @@ def route_matrix(points: DataFrame, edges: DataFrame, nodes: DataFrame, key: str
 
 
 def approx_route(edges: DataFrame, nodes: DataFrame, a: tuple[float, float], b: tuple[float, float]) -> DataFrame:
-    """One row: distance_km, path, reached_b, gap_km.  If b cannot be reached, the route ends at the reachable node nearest to it; an empty network gives -1."""
+    """One row: distance_km, path, reached_b, gap_km.  If b cannot be reached, the route ends at the reachable node nearest to it; an empty network gives -1 and the straight line as gap."""
     spark = edges.sparkSession
     ends = spark.createDataFrame([(0, float(a[0]), float(a[1])), (1, float(b[0]), float(b[1]))], "point_id int, lon double, lat double")
     snapped = {r.point_id: r for r in nearest_node(ends, nodes, "point_id").collect()}  # two rows
     if len(snapped) < 2:
-        return spark.createDataFrame([(-1.0, [], False, None)], "distance_km double, path array<long>, reached_b boolean, gap_km double")
+        straight = G.haversine(F.lit(float(a[0])), F.lit(float(a[1])), F.lit(float(b[0])), F.lit(float(b[1])), G.EARTH_NETWORK_M / 1000)
+        return spark.range(1).select(F.lit(-1.0).alias("distance_km"), F.array().cast("array<long>").alias("path"), F.lit(False).alias("reached_b"), straight.alias("gap_km"))
     start, goal = snapped[0].node_id, snapped[1].node_id
     reach = shortest_paths(edges, spark.createDataFrame([(start,)], "source long"), paths=True)
     gap = G.haversine(F.col("lon"), F.col("lat"), F.lit(float(b[0])), F.lit(float(b[1])))

@@ -82,7 +82,7 @@ def _(spark, d):
 
 
 @query("vocab_resolve", """WITH v AS (SELECT * FROM (VALUES ('amenity', 'fuel', ['gas station', 'petrol']), ('amenity', 'fast_food', ['takeaway']), ('shop', 'supermarket', ['grocery store']), ('amenity', 'charging_station', ['ev charger', 'charging point'])) t(key, value, s)), q AS (SELECT * FROM (VALUES ('Fuel'), ('Gas station'), ('fast'), ('market'), ('charging station point')) t(query))
-SELECT 'Fuel' AS query, 'amenity' AS key, 'fuel' AS value, 1e0 AS confidence UNION ALL SELECT 'Gas station', 'amenity', 'fuel', 0.9e0 UNION ALL SELECT 'fast', 'amenity', 'fast_food', 0.65e0 UNION ALL SELECT 'market', 'shop', 'supermarket', 0.5e0 UNION ALL SELECT 'charging station point', 'amenity', 'charging_station', 0.65e0""")
+SELECT 'Fuel' AS query, 'amenity' AS key, 'fuel' AS value, 1e0 AS confidence UNION ALL SELECT 'Gas station', 'amenity', 'fuel', 0.9e0 UNION ALL SELECT 'fast', 'amenity', 'fast_food', 0.65e0 UNION ALL SELECT 'market', 'shop', 'supermarket', 0.5e0 UNION ALL SELECT 'charging station point', 'amenity', 'charging_station', 0.5e0""")
 def _(spark, d):
     v = spark.createDataFrame([("amenity", "fuel", ["gas station", "petrol"]), ("amenity", "fast_food", ["takeaway"]), ("shop", "supermarket", ["grocery store"]), ("amenity", "charging_station", ["ev charger", "charging point"])], "key string, value string, synonyms array<string>")
     q = spark.createDataFrame([("Fuel",), ("Gas station",), ("fast",), ("market",), ("charging station point",)], "query string")
