@@ -453,17 +453,14 @@ def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, common
     def ordered(df: DataFrame, *key: str) -> DataFrame:
         return df.repartition(*key).sortWithinPartitions(*key)
 
-    arranged = _with_sets(docs, places, n)
-    several = bool(blocks.where("blocks > 1").limit(1).count())
-    if several:  # read again below
-        arranged = scratch.table(arranged)
-    found = scratch.table(ordered(arranged, "h", "block").mapInArrow(solve, "u long, v long, kind int"))
+    found = scratch.table(ordered(_with_sets(docs, places, n), "h", "block").mapInArrow(solve, "u long, v long, kind int"))
     out = found.where("kind = 0").select("u", "v")
-    if several and found.where("kind = 1").limit(1).count():
+    if found.where("kind = 1").limit(1).count():
         # what no hub connected, in chunks, against every other block of its group
         rest = found.where("kind = 1").select(F.col("u").alias("x"), F.col("v").alias("h"))
         chunks = rest.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("chunks"))
-        own = arranged.where("x <> h and blocks > 1").join(chunks, "h")
+        again = placed.where("x <> h and blocks > 1").join(chunks, "h")  # groups with something left, their sets made anew
+        own = _with_sets(docs, again.groupBy("x").agg(F.collect_list(F.struct("h", "blocks", "block", "chunks")).alias("at")), n)
         cross = own.join(rest, ["x", "h"]).select("x", "members", "h", F.pmod(F.xxhash64("x", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
         cross = cross.union(own.select("x", "members", "h", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("side")))
 
