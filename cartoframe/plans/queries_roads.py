@@ -378,7 +378,7 @@ def _(spark, d):
 @query("logical_edges")
 def _(spark, d):
     attributes = layer(spark, d, "geo_way_tags").select("way_id", F.col("highway").alias("cls"), "ref")
-    return network.logical_edges(_small(spark, d), layer(spark, d, "geo_nodes"), attributes).withColumn("length_m", F.round("length_m", 3))
+    return network.logical_edges(layer(spark, d, "geo_ways"), layer(spark, d, "geo_nodes"), attributes).withColumn("length_m", F.round("length_m", 3))
 
 
 # --- importance ------------------------------------------------------------------------------------
@@ -412,7 +412,7 @@ def _(spark, d):
 @query("cell_budgets")
 def _(spark, d):
     """Total length over all cells of a zoom is the length of all edges."""
-    lines = way_lines(spark, d).where("way_id % 20 = 0").select(F.col("way_id").alias("edge_id"), "coords", (G.line_length(F.col("coords")) * 1000).alias("length_m"))
+    lines = way_lines(spark, d).select(F.col("way_id").alias("edge_id"), "coords", (G.line_length(F.col("coords")) * 1000).alias("length_m"))
     cells = importance.edge_cells(lines, 100.0, 20000.0)
     return importance.cell_budgets(cells, dict.fromkeys(importance.ZOOMS, 500.0), 10000.0).withColumn("road_km", F.round("road_km", 4))
 
@@ -427,7 +427,7 @@ def _(spark, d):
 
 @query("select_edges")
 def _(spark, d):
-    lines = way_lines(spark, d).where("way_id % 20 = 0").select(F.col("way_id").alias("edge_id"), "coords", (G.line_length(F.col("coords")) * 1000).alias("length_m"))
+    lines = way_lines(spark, d).select(F.col("way_id").alias("edge_id"), "coords", (G.line_length(F.col("coords")) * 1000).alias("length_m"))
     t = layer(spark, d, "geo_way_tags").select(F.col("way_id").alias("edge_id"), F.col("highway").alias("cls"), "ref", F.lit("").alias("name"))
     edges = lines.join(t, "edge_id").withColumn("u", F.col("edge_id")).withColumn("v", F.col("edge_id") + 1)
     cells = importance.edge_cells(lines, 200.0, 20000.0)
