@@ -59,6 +59,9 @@ def build_by_coordinates(lines: DataFrame, tolerance_m: float = 1.0, cell_deg: f
     seg = scratch.table(seg)
     low, high = lambda a, b: F.floor(F.least(a, b) / cell_deg).cast("long"), lambda a, b: F.floor(F.greatest(a, b) / cell_deg).cast("long")
     celled = seg.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
+    # of the box's cells those that the segment runs through (a little wider, for rounding)
+    aside = F.expr(f"abs((bx - ax) * ((cy + 0.5) * {cell_deg} - ay) - (by - ay) * ((cx + 0.5) * {cell_deg} - ax))")
+    celled = celled.where(aside <= F.expr(f"(abs(bx - ax) + abs(by - ay)) * {cell_deg} * 0.500001 + 1e-12"))
     p, q = celled.alias("p"), celled.select(*[F.col(c).alias(f"q_{c}" if c not in ("cx", "cy") else c) for c in celled.columns])
     met = p.join(q, ["cx", "cy"]).where("sid <> q_sid")
     det = F.expr("(bx - ax) * (q_by - q_ay) - (by - ay) * (q_bx - q_ax)")

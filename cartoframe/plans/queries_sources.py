@@ -110,7 +110,7 @@ def _(spark, d):
 
 @query("graph_validate", "SELECT 0 AS lost_nodes, 0 AS loops")
 def _(spark, d):
-    refs, nodes = layer(spark, d, "geo_ways").where("way_id % 40 = 0 and pos <= 3"), layer(spark, d, "geo_nodes")
+    refs, nodes = layer(spark, d, "geo_ways"), layer(spark, d, "geo_nodes")
     return graph_store.validate(network.build_by_nodes(refs, nodes), nodes).select("lost_nodes", "loops")
 
 
@@ -133,12 +133,12 @@ def _(spark, d):
 
 @query("simplify")
 def _(spark, d):
-    return spatial.simplify(way_lines(spark, d).where("way_id % 10 = 0"), 50_000.0).select("way_id", F.size("coords").alias("n"))
+    return spatial.simplify(way_lines(spark, d), 50_000.0).select("way_id", F.size("coords").alias("n"))
 
 
 @query("network_by_coordinates")
 def _(spark, d):
-    lines = way_lines(spark, d).where("way_id % 400 = 0").select(F.col("way_id").alias("line_id"), "coords")
+    lines = way_lines(spark, d).select(F.col("way_id").alias("line_id"), "coords")
     return network.build_by_coordinates(lines, 10.0, 0.5)[0].withColumn("length_m", F.round("length_m", 3))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoframe.functions import geo as G
+from cartoframe.operators import network
 from cartoframe.plans import layers, registry
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,23 @@ def test_every_motorway_is_selected(spark):
     want = layers.way_lines(spark, SF).join(layers.layer(spark, SF, "geo_way_tags").where("highway = 'motorway'"), "way_id")
     got = registry.queries()["select_edges"](spark, SF)
     assert {r.way_id for r in want.select("way_id").collect()} <= {r.edge_id for r in got.where("zoom = 4").collect()}
+
+
+def test_simplify_takes_every_way(spark):
+    assert registry.queries()["simplify"](spark, SF).count() == layers.way_lines(spark, SF).count()
+
+
+@pytest.mark.parametrize("name, build", [("graph_validate", "build_by_nodes"), ("network_by_coordinates", "build_by_coordinates")])
+def test_networks_are_built_from_every_way(spark, monkeypatch, name, build):
+    seen = []
+    monkeypatch.setattr(network, build, lambda lines, *_: seen.append(lines.count()) or (_ for _ in ()).throw(StopAsyncIteration))
+    with pytest.raises(StopAsyncIteration):
+        registry.queries()[name](spark, SF)
+    whole = layers.layer(spark, SF, "geo_ways") if name == "graph_validate" else layers.way_lines(spark, SF)
+    assert seen == [whole.count()]
+
+
+def test_crossings_far_from_the_ends_are_found(spark):
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (5.0, 3.0)]), (2, [(0.0, 3.0), (5.0, 0.0)]), (3, [(2.5, -1.0), (2.5, 4.0)])], "line_id long, coords array<struct<lon: double, lat: double>>")
+    edges, nodes = network.build_by_coordinates(lines, 10.0, 0.5)
+    assert edges.count() == 6 and nodes.count() == 7
