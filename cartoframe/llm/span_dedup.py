@@ -2,10 +2,16 @@
 
 A text is cut into sentences (at . ! ? before anything but a word's character, and at line ends) and
 each sentence into normalised words.  From every sentence on, the shortest run of
-several consecutive sentences with at least `words` words is hashed.  Equal runs
+several consecutive sentences with at least `words` words is hashed, and with
+`tails` also the shortest run that ends with each sentence.  Equal runs
 are joined globally; the first occurrence is the one of least (doc_id, place),
 and sentences covered by any other occurrence are removed.
 
+Both directions together remove what all runs of any length would: in a longer
+run, the sentences up to the end of the shortest run from its start are covered
+by that run, and every later sentence ends a run that does not begin before it.
+Without `tails`, short last sentences of a repeated passage stay.
+
 Occurrences travel as packed arrays.  Of the occurrences of one run that a task
 sees, only the first can be the global first, so only it goes to the join: a
 passage in a third of all documents costs one entry a task there.
@@ -67,14 +73,22 @@ class Sentences:
             b = words.bounds
             self.text = tk.mix((sums[b[1:]] - sums[b[:-1]]) * inverse[np.minimum(b[:-1], m)] + np.diff(b).astype(np.uint64)).view(np.int64)
 
-    def runs(self, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first sentence, one past the last, hash) of every run."""
+    def runs(self, sentences: int, words: int, tails: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first sentence, one past the last, hash) of every run; `tails`: also of the shortest that end with each sentence."""
         k = len(self.hash)
         total = np.concatenate([[0], np.cumsum(self.count)])
         first = np.arange(k)
         last = np.maximum(np.searchsorted(total, total[:-1] + words), first + sentences)
         ok = last <= self.bounds[self.doc + 1]
-        first, last = first[ok], last[ok]
+        if tails:
+            past = np.arange(1, k + 1)
+            begin = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, past - sentences)
+            fits = begin >= self.bounds[self.doc]
+            begin, past = begin[fits], past[fits]
+            new = ~(ok[begin] & (last[begin] == past))  # a run that is the shortest both ways counts once
+            first, last = np.concatenate([first[ok], begin[new]]), np.concatenate([last[ok], past[new]])
+        else:
+            first, last = first[ok], last[ok]
         powers, inverse = tk._table(k + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(k + 1, np.uint64)
@@ -86,8 +100,8 @@ def _blob(*columns: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in columns)
 
 
-def _repeats(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """id, text hash, places (packed sentence numbers): where non-first occurrences begin."""
+def _repeats(docs: DataFrame, sentences: int, words: int, tails: bool) -> DataFrame:
+    """id, text hash, places (packed numbers, first sentence << 32 | one past the last): the non-first occurrences."""
     places = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +134,11 @@ def _repeats(docs: DataFrame, sentences: int, words: int) -> DataFrame:
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
             for i, j, w in tk.runs(batch.column(1), tk.ALNUM_WORDS):
                 s = Sentences(w)
-                first, _, key = s.runs(sentences, words)
+                first, last, key = s.runs(sentences, words, tails)
                 if not len(first):
                     continue
                 d = s.doc[first]
-                held.append(np.stack([key.view(np.int64), ids[i:j][d], s.text[d], first - s.bounds[d]]))
+                held.append(np.stack([key.view(np.int64), ids[i:j][d], s.text[d], (first - s.bounds[d]) << 32 | (last - s.bounds[d])]))
                 size += len(first)
                 if size >= 1_000_000:
                     yield flush()
@@ -161,15 +175,15 @@ def _repeats(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     return docs.mapInArrow(scatter, "target int, firsts binary, settled binary").repartition(places, "target").mapInArrow(gather, "id long, fingerprint long, places binary")
 
 
-def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated spans cut from the text, and n_sentences, n_removed, removed (byte spans of the old text)."""
+def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
+    """`docs` with repeated spans (`tails`: whole to their last sentence) cut from the text, and n_sentences, n_removed, removed (byte spans of the old text)."""
     base = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed", "__id", "__at")]
     kinds = docs.select(*base).schema
     at = base.index(text_col)
     if not isinstance(kinds[text_col].dataType, T.StringType):
         raise TypeError(f"{text_col} is not a string column")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = _repeats(slim, sentences, words).groupBy("id").agg(F.collect_list(F.struct("fingerprint", "places")).alias("__at")).withColumnRenamed("id", "__id")
+    marks = _repeats(slim, sentences, words, tails).groupBy("id").agg(F.collect_list(F.struct("fingerprint", "places")).alias("__at")).withColumnRenamed("id", "__id")
     own = docs.select(*base).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
     joined = own.join(marks, "__id", "left").select(*base, "__at")
     schema = T.StructType([*kinds.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -181,8 +195,6 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10,
         for batch in batches:
             for i, j, w in tk.runs(batch.column(at), tk.ALNUM_WORDS):
                 s = Sentences(w)
-                first, last, _ = s.runs(sentences, words)
-                run_end = dict(zip(first.tolist(), last.tolist(), strict=True))
                 own = batch.slice(i, j - i)
                 texts, counts, spans = own.column(at).to_pylist(), np.diff(s.bounds), []
                 for r, marked in enumerate(own.column(len(base)).to_pylist()):
@@ -190,7 +202,7 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10,
                     for m in marked or ():
                         if m["fingerprint"] == s.text[r]:
                             for p in np.frombuffer(m["places"], np.int64).tolist():
-                                drop[p : run_end[int(s.bounds[r]) + p] - int(s.bounds[r])] = True
+                                drop[p >> 32 : p & 0xFFFFFFFF] = True
                     own_spans = []
                     if drop.any():
                         # a sentence reaches from its first word to the next sentence's, the text's first from its very start
@@ -210,4 +222,4 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10,
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without repeated runs of two or more sentences and 10 or more words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeated_spans(docs).select("doc_id", "text", "n_sentences", "n_removed", "removed")
+    return remove_repeated_spans(docs, tails=True).select("doc_id", "text", "n_sentences", "n_removed", "removed")

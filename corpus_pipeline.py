@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of sentences leave the texts; texts that nothing is left of go."""
-    kept = span_dedup.remove_repeated_spans(docs).where("n_removed = 0 or length(trim(text)) > 0")
+    kept = span_dedup.remove_repeated_spans(docs, tails=True).where("n_removed = 0 or length(trim(text)) > 0")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
