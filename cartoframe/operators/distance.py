@@ -181,16 +181,23 @@ def point_pairs(points: DataFrame, key: str, group: str | None = None) -> DataFr
 
 
 def plan_city_pairs(cities: DataFrame, mode: str = "nearest", name: str = "name", population: str = "population") -> DataFrame:
-    """(a, b) by name, a < b: `nearest` links each city with its nearest other, `hub` all with the most populous, `all` all pairs."""
-    named = cities.select(F.col(name).alias("name"), F.col(population).alias("population"), "lon", "lat")
+    """(a, b) by name, a <= b: `nearest` links each city with its nearest other, `hub` all with the most populous, `all` all pairs.
+
+    Cities are told apart by row, not by name.  Only `nearest` keeps one link of two
+    names: the most populous city's, of these the shortest.
+    """
+    if mode not in ("nearest", "hub", "all"):
+        raise ValueError(f"mode: nearest, hub or all, not {mode}")
+    named = cities.select(F.col(name).alias("name"), F.col(population).alias("population"), "lon", "lat").withColumn("__city", F.monotonically_increasing_id())
+    named = Scratch(cities.sparkSession, "cities").table(named)  # ids must not change between the sides of a join
+    a, b = F.least("name", "ref.name").alias("a"), F.greatest("name", "ref.name").alias("b")
     if mode == "all":
-        return point_pairs(named, "name").select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), "distance_km")
+        pairs = point_pairs(named, "__city")
+        return pairs.select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"), "distance_km")
     if mode == "hub":
-        hub = named.orderBy(F.desc("population"), "name").limit(1)
-        pairs = within(named, hub, _HALF_WORLD_KM).where("name <> ref.name")
-    elif mode == "nearest":
-        pairs = k_nearest(named, named, 2, "name", "name").where("name <> ref.name")
-        pairs = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("name").orderBy("distance_km", "ref.name"))).where("__r = 1")
-    else:
-        raise ValueError(f"mode: nearest, hub or all, not {mode}")
-    return pairs.select(F.least("name", "ref.name").alias("a"), F.greatest("name", "ref.name").alias("b"), "distance_km").dropDuplicates(["a", "b"])
+        hub = named.orderBy(F.desc("population"), "name", "__city").limit(1)
+        return within(named, hub, _HALF_WORLD_KM).where("__city <> ref.__city").select(a, b, "distance_km")
+    named = named.withColumn("__order", F.struct("name", "__city"))
+    pairs = k_nearest(named, named, 2, "__city", "__order").where("__city <> ref.__city")
+    pairs = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("__city").orderBy("distance_km", "ref.__order"))).where("__r = 1")
+    return pairs.select(a, b, "population", "distance_km").groupBy("a", "b").agg(F.max_by("distance_km", F.struct("population", -F.col("distance_km"))).alias("distance_km"))
