@@ -9,8 +9,11 @@ more than `threshold` of all mass, and allowed otherwise.
 
 Host links are the absolute links of the pages, and the link of a subdomain with
 the host above it where both have pages.  Ranks are integers (UNIT for all mass),
-so results do not depend on the order of summation.  Each round is one join on
+so results do not depend on the order of summation.  Ranks grow from nothing, so
+rounds end by themselves where no integer rank changes.  Each round is one join on
 the source host and one aggregation with map-side sums, kept as a scratch table.
+The SQL has ROUNDS rounds: it agrees where the graph has no links, as that of the
+test tables.
 
 Only DataFrame operations.  Defined cases: a null url, or one without `://`, has
 an empty host and path and fits no rule.  A host without seeds or links has
@@ -63,8 +66,8 @@ def host_links(pages: DataFrame, hosts: DataFrame, html_col: str = "html") -> Da
     return every.join(known, "dst", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after so many rounds.  seeds: host, good, bad (counts)."""
+def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, trust, distrust) once no rank changes.  seeds: host, good, bad (counts)."""
     ahead = links.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
     back = links.select(F.lit(1).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     both = ahead.union(back)
@@ -76,14 +79,15 @@ def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, rounds: int
         part = seeds.where(F.col(column) > 0).select(F.lit(kind).alias("kind"), "host", F.expr(f"cast(cast({column} as decimal(19,0)) * {UNIT} div {max(1, total)} as bigint)").alias("r"))
         start = part if start is None else start.union(part)
     start = scratch.table(start)
-    ranks = start
-    for _ in range(rounds):
+    again = scratch.table(start.select("kind", "host", F.expr(f"r * {100 - DAMPING} div 100").alias("r")))
+    mass = lambda df: df.agg(F.coalesce(F.sum("r"), F.lit(0))).first()[0]
+    ranks, before, now = again, -1, mass(again)
+    while now != before:  # ranks never fall and their sum is bounded: an equal sum is equal ranks
         moved = ranks.withColumnRenamed("host", "a").join(edges, ["kind", "a"]).select("kind", F.col("b").alias("host"), F.expr(f"cast(cast(r as decimal(19,0)) * n * {DAMPING} div (total * 100) as bigint)").alias("r"))
-        again = start.select("kind", "host", F.expr(f"r * {100 - DAMPING} div 100").alias("r"))
         after = scratch.table(again.union(moved).groupBy("kind", "host").agg(F.sum("r").alias("r")))
-        if ranks is not start:
+        if ranks is not again:
             scratch.drop(ranks)
-        ranks = after
+        ranks, before, now = after, now, mass(after)
     return ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r")).otherwise(0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0)).alias("distrust"))
 
 
