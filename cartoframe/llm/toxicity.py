@@ -159,16 +159,21 @@ def train(texts: list[str], labels: list[int], steps: int = 280, rate: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits at most `rows` documents of label 1 and twice as many of label 0 (those of least hash of the id), none of more than SAMPLE_LONGEST characters."""
+    """Fits at most `rows` documents of label 1 and twice as many of label 0 (those of least hash of the id), of those of at most SAMPLE_LONGEST characters.  A label whose texts are all longer is an error."""
     marked = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     total = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total:
         return Model(np.zeros(BUCKETS, np.float32), -40.0)
-    chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows * (2 - y)) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("n"))
+    fits = marked.join(texts.where(F.col("n") <= SAMPLE_LONGEST).select("id"), "id", "left_semi")
+    chosen = [fits.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows * (2 - y)) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])  # at most 3 * rows rows: small enough to broadcast
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", "y")
     found = found.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LONGEST)
     sample = sorted(((r.id, r.text or "", r.y) for r in found.collect()), key=lambda r: r[:2])
+    lost = [y for y in total if y not in {r[2] for r in sample}]
+    if lost and marked.where(F.col("y").isin(lost)).join(texts, "id", "left_semi").limit(1).count():
+        raise ValueError(f"all texts of label {lost} have more than {SAMPLE_LONGEST} characters")
     prior = total.get(1, 0) / sum(total.values())
     return train([t for _, t, _ in sample], [y for *_, y in sample], prior=prior if 0 < prior < 1 else None)
 
