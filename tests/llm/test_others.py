@@ -46,13 +46,14 @@ def test_token_counts_refuse_other_formats(tmp_path):
 # --- top-k ---------------------------------------------------------------------------------------
 
 
-def brute_topk(rows, k, scale):
+def brute_topk(rows, k, scale, every=10):
     out = []
-    usable = [(i, np.floor(scale * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for q, v in usable:
-        if q % 10:
+    usable = [(n, i, [scale * int(x) if abs(x) > 1e15 else int(np.floor(scale * x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for n, q, v in usable:
+        if q % every:
             continue
-        scores = sorted(((-int(v @ x), i) for i, x in usable if i != q and len(x) == len(v)))[:k]
+        dots = ((sum(a * b for a, b in zip(v, x, strict=True)), i) for m, i, x in usable if m != n and len(x) == len(v))
+        scores = sorted((-min(2**63 - 1, max(-(2**63), s)), i) for s, i in dots)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
@@ -72,6 +73,19 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk.exact_topk(none, none).collect() == []
 
 
+def test_topk_of_repeated_queries_and_far_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    rows += [(100, rows[3][1]), (100, rows[4][1]), (100, rows[3][1]), (110, [1e30] * 6), (120, [-1e30, 1e30, 3.0, 0.0, 1e300, 1e308]), (130, [1e10] * 6), (131, [-1e308] * 6)]
+    df = spark.createDataFrame([(*r, "kept out", 1.0) for r in rows], "vec_id long, embedding array<double>, score string, rank double").repartition(5)
+    for share, size in ((64, 1 << 20), (1, 300)):  # and several slices of queries
+        monkeypatch.setattr(topk, "SEED_SHARE", share)
+        monkeypatch.setattr(topk, "SLICE_BYTES", size)
+        got = topk.exact_topk(df, df.where("vec_id % 10 = 0"), 5, 1024).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_topk(rows, 5, 1024)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=(20, 37)), rng.normal(size=(50, 37))
@@ -185,7 +199,7 @@ def test_language_by_compression(spark):
     odd = [(900, None, "en"), (901, "", "de"), (902, "123 !!", "en"), (903, prose("en", 9000), None), (None, prose("de", 20), "de")]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
     made = language_id.fit(docs.where("doc_id < 60"))
-    assert sorted(made) == ["de", "en"] and all(len(x) <= language_id.DICTIONARY for x in made.values())
+    assert sorted(made) == ["de", "en"]
     got = {r.doc_id: r for r in language_id.identify(docs, made).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in rows) and got[903].lang_pred == "en" and got[None].lang_pred == "de"
     assert [(got[i].lang_pred, got[i].score, got[i].rejected) for i in (900, 901, 902)] == [("und", 0.0, True)] * 3
@@ -193,6 +207,45 @@ def test_language_by_compression(spark):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_is_that_of_the_smallest_compression(spark):
+    """Against a plain loop: whole texts of the sample, one compressor for each piece."""
+    import regex
+    import zstandard as zstd
+
+    rng = random.Random(11)
+    words = {"en": "the and of with house river morning light".split(), "de": "der und von mit haus fluss morgen licht".split(), "xx": "zu ba ki lo".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.choice([1, 3, 20, 3000]))) + rng.choice(["", "½ ②!", " 12"]), lang) for i, lang in enumerate(["en", "de", "xx"] * 15)]
+    rows += [(4, rows[4][1], "de")] * 3 + [(900, "½②", "en"), (901, "ß", None), (902, "x" * 9000, None), (None, "haus", "de")]
+    docs = spark.createDataFrame([(*r, "old", 7) for r in rows], "doc_id long, text string, lang string, lang_pred string, Score int").repartition(4)
+    made = language_id.fit(docs)
+    clean = lambda t: regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).encode()
+    for lang in words:
+        own = {(i, t) for i, t, x in rows if x == lang and i is not None}
+        assert sorted(made[lang]) == sorted(b" ".join(clean(t) for _, t in own))
+    got = language_id.identify(docs, made)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and got.count() == len(rows)
+    for r in got.collect():
+        if not regex.search(r"\p{L}", r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        raw, sizes = clean(r.text), {}
+        for lang in sorted(made):
+            d = zstd.ZstdCompressionDict(made[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            c = zstd.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(raw[k : k + language_id.PIECE])) for k in range(0, len(raw), language_id.PIECE))
+        low = sorted(sizes.values())
+        assert r.lang_pred == min(sizes, key=lambda x: (sizes[x], x)) and r.score == min(1.0, (low[1] - low[0]) / low[0]), r.text
+    assert language_id.identify(docs.limit(0), made).collect() == []
+
+
+def test_the_sample_is_bounded_and_alike(spark):
+    rows = [(i, f"text {i}", "en" if i % 10 else "de") for i in range(5000)] + [(7, f"again {k}", "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = language_id.fit(docs, rows=50)
+    other = language_id.fit(docs.repartition(13), rows=50)
+    assert made == other and made["en"].count(b"text") + made["en"].count(b"again") == 50 == made["de"].count(b"text")
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(6)
     plain = ["walk", "tree", "paper", "window", "garden", "letter", "music", "stone", "water", "evening"]
