@@ -1,51 +1,53 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from labelled texts.
-A text is compressed with every dictionary; the smallest result names the
-language.  The margin is how much larger the second smallest is, relative to the
-smallest; a narrow margin rejects the text (`rejected`).
+For each language a raw-content zstandard dictionary is made of labelled texts,
+whole texts of a bounded sample of rows.  A text is compressed with every
+dictionary; the smallest result names the language.  The margin is how much
+larger the second smallest is, relative to the smallest; a narrow margin rejects
+the text (`rejected`).
 
 A text is compressed in pieces of PIECE bytes, all of them, so that the
 dictionary stays in the matcher's reach and does not lose its weight in long
-texts.
+texts.  All texts are compressed at one level.
 
-Defined cases: a text that is null or has no letters is `und`, with score 0.
-Ties go to the language that sorts first.  Without labelled texts all is `und`.
+Defined cases: a text that is null or has no letters (Unicode category L) is
+`und`, with score 0.  Ties go to the language that sorts first.  With one
+language only, the score is 1.  Without labelled texts all is `und`.  Rows are
+judged one by one, repeated ones too; an empty table gives an empty result.
+Extra columns stay; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoframe.llm.sampling import Sample
 from cartoframe.llm.toxicity import is_held_out
 
-#: Labelled texts of a language that a dictionary is made from at most, the bytes it holds, and the bytes each text gives.
-SAMPLE_ROWS, DICTIONARY, PER_TEXT = 1000, 512 << 10, 2 << 10
-PIECE = 4 << 10
-#: Compression levels by bytes of the text: (fewer than, level).  Short texts need another parse to tell sizes apart.
-LEVELS = ((100, 3), (600, 12), (1 << 62, 5))
+#: Labelled texts of a language that a dictionary is made from at most.
+SAMPLE_ROWS = 400
+PIECE, LEVEL = 4 << 10, 5
 
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}]+").sub
 
 
 def _clean(text: str) -> str:
-    """Lower case; runs of anything but letters are one space: markup and digits do not tell languages apart."""
-    return re.sub(r"[\W\d_]+", " ", text.lower())
+    """Lower case; runs of anything but letters and their marks are one space: markup and digits do not tell languages apart."""
+    return _BETWEEN(" ", text.lower())
 
 
 def make_dictionaries(texts: list[tuple[str, str]]) -> dict[str, bytes]:
-    """Raw-content dictionaries from (language, text), the texts in turn until one is full."""
+    """Raw-content dictionaries from (language, text)."""
     parts: dict[str, list[bytes]] = {}
     for lang, text in texts:
-        own = parts.setdefault(lang, [])
-        if sum(map(len, own)) < DICTIONARY:
-            own.append(_clean(text).encode()[:PER_TEXT])
-    return {lang: b" ".join(own)[:DICTIONARY] for lang, own in sorted(parts.items()) if any(own)}
+        parts.setdefault(lang, []).append(_clean(text).encode())
+    return {lang: b" ".join(own) for lang, own in sorted(parts.items()) if any(own)}
 
 
 class Classifier:
@@ -54,13 +56,10 @@ class Classifier:
 
         self.langs = sorted(dictionaries)
         self.by = []
-        for most, level in LEVELS:
-            own = []
-            for lang in self.langs:
-                d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                own.append(zstd.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-            self.by.append((most, own))
+        for lang in self.langs:
+            d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.by.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, margin)"""
@@ -68,20 +67,17 @@ class Classifier:
             return "und", 0.0
         raw = _clean(text).encode()
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        own = next(c for most, c in self.by if len(raw) < most)
-        sizes = [sum(len(compress(p)) for p in pieces) for compress in own]
+        sizes = [sum(len(compress(p)) for p in pieces) for compress in self.by]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = [s for i, s in enumerate(sizes) if i != best]
         return self.langs[best], min(1.0, (min(others) - sizes[best]) / sizes[best]) if others else 1.0
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionaries from at most `rows` texts of each language, those of least hash of the id."""
-    known = docs.where(f"{lang_col} is not null and {text_col} is not null").select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), F.lit(3)).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))  # a limit of each partition's rows before the shuffle
-    ids = known.withColumn("rank", rank).where(F.col("rank") <= rows).select("id", "lang", "at").dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, 2 * PER_TEXT).alias("text")).join(F.broadcast(ids), "id")
-    return make_dictionaries([(r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.lang, r.at, r.id, r.text))])
+    """Dictionaries from at most `rows` whole texts of each language, those of least hash of the id.  Rows without id are not learned from."""
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    sample = Sample(known.where("text is not null"), lambda _: rows)
+    return make_dictionaries([(lang, text) for lang, _, text in sample.texts(sample.near)])
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, text_col: str = "text") -> DataFrame:

@@ -12,8 +12,11 @@ n-gram, over arrays of code points, without a Python object per word.
 
 Defined cases: null and empty texts, or texts without words, score the bias
 alone (how often label 1 occurs).  Rows with several labels count as toxic if any
-label says so.  Without labelled rows of both classes every score is the share of
-toxic labels (0 if there are none).
+label says so; rows that share an id count once in the sample.  Without labelled
+texts of both classes every score is the share of toxic labels (0 if there are
+none).  Long texts are read whole, in fits and scores, PIECE words at a time.
+Rows are scored one by one, repeated ones too; an empty table gives an empty
+result.  Extra columns stay; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that are fitted at most, of label 1 and (twice as many) of label 0; texts of more characters are not in the sample.
-SAMPLE_ROWS, SAMPLE_LONGEST = 1000, 20_000
+from cartoframe.llm.sampling import Sample
+
+#: Labelled rows that are fitted at most, of label 1 and (twice as many) of label 0.
+SAMPLE_ROWS = 1000
 BUCKETS, DIM, MIN_N, MAX_N = 1 << 17, 8, 3, 5
+#: Words whose n-grams are in memory at once.
+PIECE = 20_000
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -38,11 +45,10 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS(text.lower()) if text else []
 
 
-def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket, word number) of every n-gram of a text, and how many words it has."""
-    words = words_of(text)
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of every n-gram of some words."""
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le"), np.uint32)
     owner = np.cumsum(points == ord("<"), dtype=np.int32) - 1
     hashed, buckets, owners = points, [], []
@@ -56,7 +62,12 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
                 h *= np.uint32(0x85EBCA6B)
                 buckets.append(((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)).astype(np.int32))
                 owners.append(owner[: len(hashed)][inside])
-    return np.concatenate(buckets), np.concatenate(owners), len(words)
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def pieces(words: list[str]) -> Iterator[list[str]]:
+    for i in range(0, len(words), PIECE):
+        yield words[i : i + PIECE]
 
 
 @dataclass
@@ -67,10 +78,10 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        bucket, owner, n = ngrams(text)
-        z = self.bias
-        if n:
-            z += float((np.bincount(owner, self.weight[bucket], n) / np.bincount(owner, minlength=n)).mean())
+        words, z = words_of(text), self.bias
+        for own in pieces(words):
+            bucket, owner = ngrams(own)
+            z += float((np.bincount(owner, self.weight[bucket], len(own)) / np.bincount(owner, minlength=len(own))).sum()) / len(words)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -78,11 +89,18 @@ def _bags(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(buckets, weights, bounds, document counts) of the texts' averaged bags; buckets in fewer than `least` texts are left out."""
     cols, weights = [], []
     for text in texts:
-        bucket, owner, n = ngrams(text)
-        share = (1 / np.bincount(owner, minlength=n) / max(1, n))[owner] if n else np.zeros(0)
-        index, at = np.unique(bucket, return_inverse=True)
+        words, parts = words_of(text), []
+        for own in pieces(words):
+            bucket, owner = ngrams(own)
+            share = (1 / np.bincount(owner, minlength=len(own)) / len(words))[owner]
+            index, at = np.unique(bucket, return_inverse=True)
+            parts.append((index, np.bincount(at, share, len(index))))
+        if len(parts) > 1:
+            index, at = np.unique(np.concatenate([i for i, _ in parts]), return_inverse=True)
+            parts = [(index, np.bincount(at, np.concatenate([w for _, w in parts]), len(index)))]
+        index, share = parts[0] if parts else (np.zeros(0, np.int32), np.zeros(0))
         cols.append(index.astype(np.int32))
-        weights.append(np.bincount(at, share, len(index)).astype(np.float32))
+        weights.append(share.astype(np.float32))
     frequency = np.zeros(BUCKETS, np.int64)
     for c in cols:
         frequency[c] += 1
@@ -159,23 +177,16 @@ def train(texts: list[str], labels: list[int], steps: int = 280, rate: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits at most `rows` documents of label 1 and twice as many of label 0 (those of least hash of the id), of those of at most SAMPLE_LONGEST characters.  A label whose texts are all longer is an error."""
-    marked = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    total = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Fits at most `rows` documents of label 1 and twice as many of label 0, whole texts, those of least hash of the id."""
+    marked = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    total = {r.label: r.n for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total:
         return Model(np.zeros(BUCKETS, np.float32), -40.0)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("n"))
-    fits = marked.join(texts.where(F.col("n") <= SAMPLE_LONGEST).select("id"), "id", "left_semi")
-    chosen = [fits.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows * (2 - y)) for y in (0, 1)]
-    ids = chosen[0].union(chosen[1])  # at most 3 * rows rows: small enough to broadcast
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", "y")
-    found = found.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LONGEST)
-    sample = sorted(((r.id, r.text or "", r.y) for r in found.collect()), key=lambda r: r[:2])
-    lost = [y for y in total if y not in {r[2] for r in sample}]
-    if lost and marked.where(F.col("y").isin(lost)).join(texts, "id", "left_semi").limit(1).count():
-        raise ValueError(f"all texts of label {lost} have more than {SAMPLE_LONGEST} characters")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = Sample(marked.join(texts.select("id"), "id", "left_semi"), lambda y: rows * (2 - y))
+    found = sample.texts(texts.join(F.broadcast(sample.near), "id"))  # a few thousand ids
     prior = total.get(1, 0) / sum(total.values())
-    return train([t for _, t, _ in sample], [y for *_, y in sample], prior=prior if 0 < prior < 1 else None)
+    return train([t for _, _, t in found], [y for y, _, _ in found], prior=prior if 0 < prior < 1 else None)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
