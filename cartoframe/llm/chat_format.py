@@ -6,19 +6,22 @@ with a mask of the spans that are trained on: the contents (with the end mark) o
 turns by the assistant.  Spans are character offsets [start, end) in the
 completion.
 
-Turns are brought together by one aggregation on the pair; a pair holds two
-conversations and no more.  Only DataFrame functions are used.
+Turns are brought together by one shuffle on the pair.  Where each turn begins in
+its conversation is a running sum over rows, so the work is linear in the turns.
+Only DataFrame functions are used.
 
 Defined cases: a side without turns has an empty conversation (no common prefix,
 an empty completion).  Turns are ordered by turn, role, text, nulls first; two
-turns are equal if role and text are, nulls included.  Null roles render as
-`unknown`, null texts as empty.  Rows without pair or side are left out: they
-belong to no conversation.
+turns are equal if role and text are, nulls included; repeated rows are turns of
+their own.  Null roles render as `unknown`, null texts as empty.  Texts are
+rendered whole, however long; a pair is one row, so its two conversations must fit
+in a value of 2 GB.  Rows without pair or side are left out: they belong to no
+conversation.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -41,28 +44,29 @@ def _render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, _rendered), "")
 
 
-def _mask(turns: Column) -> Column:
-    """Spans of the trained contents: for each turn, where the turns before it end."""
-    lengths = F.transform(turns, lambda t: F.length(_rendered(t)))
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    spans = F.transform(turns, lambda t, i: F.struct(
-        _role(t).alias("role"), (F.get(ends, i) + len(OPEN) + 1 + F.length(_role(t))).cast("long").alias("start"), (F.get(ends, i + 1) - 1).cast("long").alias("end")))
-    return F.transform(F.filter(spans, lambda s: s["role"] == TRAINED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+def _mask(turns: Column, prompt: Column) -> Column:
+    """Spans of the trained contents, counted from the end of the prompt."""
+    own = F.filter(turns, lambda t: t["role"] == TRAINED)
+    return F.transform(own, lambda t: F.struct(
+        (t["begin"] - F.length(prompt) + len(OPEN) + 1 + F.length(_role(t))).cast("long").alias("start"), (t["begin"] - F.length(prompt) + F.length(_rendered(t)) - 1).cast("long").alias("end")))
 
 
 def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", side_col: str = "chosen", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """pair_id, n_shared, prompt, chosen, rejected, chosen_mask, rejected_mask from turns with a pair and a side (true: chosen)."""
-    rows = turns.where(F.col(pair_col).isNotNull() & F.col(side_col).isNotNull()).select(F.col(pair_col).alias("pair_id"), F.col(side_col).cast("boolean").alias("side"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).alias("t"))
-    side = lambda s: F.array_sort(F.filter(F.collect_list(F.struct("side", "t")), lambda x: x["side"] == s))
-    grouped = rows.groupBy("pair_id").agg(side(True).alias("c"), side(False).alias("r"))
-    grouped = grouped.select("pair_id", F.transform("c", lambda x: x["t"]).alias("c"), F.transform("r", lambda x: x["t"]).alias("r"))
+    t = F.struct(F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = turns.where(F.col(pair_col).isNotNull() & F.col(side_col).isNotNull()).select(F.col(pair_col).alias("pair_id"), F.col(side_col).cast("boolean").alias("side"), F.col(turn_col).cast("long").alias("turn"), t.alias("t"))
+    order = Window.partitionBy("pair_id", "side").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("t.role"), F.asc_nulls_first("t.text"))
+    rows = rows.withColumn("n", F.length(_rendered(F.col("t"))).cast("long")).repartition("pair_id")
+    rows = rows.select("pair_id", "side", F.struct(F.row_number().over(order).alias("pos"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("begin"), "t.role", "t.text").alias("t"))
+    side = lambda own: F.array_sort(F.collect_list(F.when(own, F.col("t"))))
+    grouped = rows.groupBy("pair_id").agg(side(F.col("side")).alias("c"), side(~F.col("side")).alias("r"))
     same = F.zip_with("c", "r", lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]) & a.isNotNull() & b.isNotNull())
     shared = F.coalesce(F.array_position(same, False) - 1, F.lit(-1))
     shared = F.when(shared < 0, F.size(same)).otherwise(shared).cast("int")
     grouped = grouped.withColumn("n_shared", shared)
     rest = lambda c: F.slice(c, F.col("n_shared") + 1, F.size(c))
-    grouped = grouped.select("pair_id", "n_shared", F.slice("c", F.lit(1), F.col("n_shared")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
-    return grouped.select("pair_id", F.col("n_shared").cast("long").alias("n_shared"), _render(F.col("p")).alias("prompt"), _render(F.col("c")).alias("chosen"), _render(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
+    grouped = grouped.select("pair_id", "n_shared", _render(F.slice("c", F.lit(1), F.col("n_shared"))).alias("prompt"), rest("c").alias("c"), rest("r").alias("r"))
+    return grouped.select("pair_id", F.col("n_shared").cast("long").alias("n_shared"), "prompt", _render(F.col("c")).alias("chosen"), _render(F.col("r")).alias("rejected"), _mask(F.col("c"), F.col("prompt")).alias("chosen_mask"), _mask(F.col("r"), F.col("prompt")).alias("rejected_mask"))
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
