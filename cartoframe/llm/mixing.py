@@ -10,14 +10,16 @@ once in each of up to `max_epochs` epochs.
 A leaf's budget buys whole epochs and then the longest prefix of a seeded
 permutation (its own for each epoch) whose tokens fit in the rest.  The prefix is
 found by sums of hash buckets of about BUCKET documents: only the bucket that the
-budget ends in is sorted, so a leaf with a third of all rows is spread over all
-tasks.
+budget ends in is sorted, and sums run over GROUP buckets at a time, so a leaf with
+a third of all rows is spread over all tasks.
 
 Only DataFrame operations.  Defined cases: a null level is a leaf value of its
-own; null texts have no tokens; documents without tokens come with the prefix
-that reaches them; rows that share an id and leaf stand together in the
-permutation and are taken together; an empty table gives an empty result; values
-without a weight have weight 1; a weight of 0 takes nothing.
+own; null texts have no tokens, long ones are counted whole; documents without
+tokens come with the prefix that reaches them; rows that share an id and leaf
+stand together in the permutation and are taken together, each once an epoch; an
+empty table gives an empty result; values without a weight have weight 1; a weight
+of 0 takes nothing.  Extra columns are ignored unless they are named in `carry`;
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from cartoframe.runtime import Scratch
 
-BUCKET = 1000
+#: Documents in a bucket, buckets in a group.
+BUCKET, GROUP = 1000, 1000
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 
@@ -80,30 +83,38 @@ def leaf_budgets(leaves: DataFrame, budget: Column, levels: tuple[str, ...] = LE
     return node.withColumnRenamed("budget", "share")
 
 
-def mix(docs: DataFrame, budget: Column, levels: tuple[str, ...] = LEVELS, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, levels..., epoch, n_tokens: a row for each time that a document is taken."""
+def mix(docs: DataFrame, budget: Column, levels: tuple[str, ...] = LEVELS, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, levels..., epoch, n_tokens and the columns `carry`: a row for each time that a document is taken."""
+    made = {"doc_id", "epoch", "n_tokens", *levels}
+    carry = tuple(c for c in carry if c.lower() not in made)
     scratch = Scratch(docs.sparkSession, "mixing")
-    slim = scratch.table(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(x).cast("string").alias(x) for x in levels], n_words(F.col(text_col)).alias("n_tokens")))
-    leaves = scratch.table(slim.groupBy(*levels).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs")))
-    bought = leaf_budgets(leaves, budget, levels, weights, max_epochs).where("supply > 0").select(*[F.col(x).alias(f"__{x}") for x in levels], F.expr("share div supply").alias("full"), F.expr("share % supply").alias("rest"), F.ceil(F.col("n_docs") / BUCKET).alias("buckets"))
+    slim = [F.col(id_col).cast("long").alias("doc_id"), *[F.col(x).cast("string").alias(x) for x in levels], n_words(F.col(text_col)).alias("n_tokens")]
+    counted = scratch.table(docs.select(*slim))
+    leaves = scratch.table(counted.groupBy(*levels).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs")))
+    bought = leaf_budgets(leaves, budget, levels, weights, max_epochs).where("supply > 0").select(*[F.col(x).alias(f"__{x}") for x in levels], F.expr("share div supply").alias("__full"), F.expr("share % supply").alias("__rest"), F.ceil(F.col("n_docs") / BUCKET).alias("__buckets"))
     bought = scratch.table(bought)
-    on = [slim[x].eqNullSafe(bought[f"__{x}"]) for x in levels]
-    rows = slim.join(bought, on).drop(*[f"__{x}" for x in levels])
-    rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("bucket", F.expr("(cast(conv(substring(h, 1, 8), 16, 10) as bigint) * buckets) div 4294967296"))
-    leaf = [F.coalesce(F.concat(F.lit("v"), x), F.lit("n")) for x in levels]
-    rows = rows.withColumn("leaf", F.concat_ws("\0", *leaf))
-    sums = rows.groupBy("leaf", "bucket").agg(F.sum("n_tokens").alias("in_bucket"), F.max("rest").alias("rest"))
-    upto = F.sum("in_bucket").over(Window.partitionBy("leaf").orderBy("bucket"))
-    sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("in_bucket")).select("leaf", "bucket", "before", "upto")
-    rows = rows.join(sums, ["leaf", "bucket"])
-    inside = F.sum("n_tokens").over(Window.partitionBy("leaf", "bucket").orderBy("h", "doc_id"))
-    last = rows.where("upto > rest and before < rest").withColumn("upto", F.col("before") + inside).where("upto <= rest").withColumn("copies", F.col("full") + 1)
-    others = rows.where("upto <= rest or before >= rest").withColumn("copies", F.when(F.expr("upto <= rest and rest > 0"), F.col("full") + 1).otherwise(F.col("full")))
-    kept = rows.where("upto > rest and before < rest and full > 0")
-    cut = last.select("doc_id", *levels, "n_tokens", F.explode(F.sequence(F.col("full"), F.col("full"))).alias("epoch"))
-    whole = others.unionByName(kept.withColumn("copies", F.col("full"))).where("copies > 0").select("doc_id", *levels, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
-    return whole.unionByName(cut).select("doc_id", *levels, "epoch", "n_tokens")
+    leaf = F.concat_ws("\0", *[F.coalesce(F.concat(F.lit("v"), x), F.lit("n")) for x in levels])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows with what their leaf has bought, their place in its permutation and their bucket."""
+        rows = rows.join(bought, [rows[x].eqNullSafe(bought[f"__{x}"]) for x in levels]).drop(*[f"__{x}" for x in levels])
+        rows = rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        rows = rows.withColumn("__bucket", F.expr("(cast(conv(substring(__h, 1, 8), 16, 10) as bigint) * __buckets) div 4294967296"))
+        return rows.withColumn("__leaf", leaf).drop("__buckets")
+
+    sums = scratch.table(dealt(counted).groupBy("__leaf", "__bucket").agg(F.sum("n_tokens").alias("own")).withColumn("group", F.expr(f"__bucket div {GROUP}")))
+    groups = sums.groupBy("__leaf", "group").agg(F.sum("own").alias("of_group"))
+    ahead = groups.withColumn("ahead", F.sum("of_group").over(Window.partitionBy("__leaf").orderBy("group")) - F.col("of_group")).drop("of_group")
+    upto = F.col("ahead") + F.sum("own").over(Window.partitionBy("__leaf", "group").orderBy("__bucket"))
+    sums = sums.join(ahead, ["__leaf", "group"]).withColumn("__upto", upto).select("__leaf", "__bucket", (F.col("__upto") - F.col("own")).alias("__before"), "__upto")
+    rows = dealt(docs.select(*slim, *carry) if carry else counted).join(sums, ["__leaf", "__bucket"])
+    cut = F.expr("__upto > __rest and __before < __rest")  # the budget ends in this bucket: its rows one by one
+    inside = F.sum("n_tokens").over(Window.partitionBy("__leaf", "__bucket").orderBy("__h", "doc_id"))
+    once_more = F.expr("__upto <= __rest and __rest > 0").cast("int")
+    whole = rows.where(~cut).withColumn("__copies", F.col("__full") + once_more)
+    part = rows.where(cut).withColumn("__upto", F.col("__before") + inside).withColumn("__copies", F.col("__full") + once_more)
+    taken = whole.unionByName(part).where("__copies > 0")
+    return taken.select("doc_id", *levels, "n_tokens", *carry, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("epoch")).select("doc_id", *levels, "epoch", "n_tokens", *carry)
 
 
 def half_of_supply() -> Column:

@@ -162,6 +162,19 @@ def test_prefixes_fill_leaf_budgets(spark, monkeypatch):
     assert mixing.mix(docs.limit(0), F.expr("coalesce(sum(supply), 0)")).collect() == []
 
 
+def test_repeated_rows_are_taken_once_an_epoch_and_carry_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 5)
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    rows = [(i, f"word {i} " * 3, "en", "a", i) for i in range(40)] + [(100, "two words", "en", "a", 7)] * 4 + [(None, f"no id {i}", "de", "b", i) for i in range(5)] + [(200, "long " * 50_000, "de", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens int").withColumn("domain", F.lit("d0"))
+    got = mixing.mix(docs, F.expr("sum(supply) * 2"), max_epochs=2, carry=("text", "n_tokens", "source")).collect()
+    assert collections.Counter((r.doc_id, r.text, r.epoch) for r in got) == collections.Counter((i, t, e) for i, t, *_ in rows for e in (0, 1))
+    assert all(r.n_tokens == len(r.text.split()) for r in got)
+    plain = mixing.mix(docs, F.expr("sum(supply) div 2")).collect()
+    full = mixing.mix(docs, F.expr("sum(supply) div 2"), carry=("text",)).collect()
+    assert collections.Counter((r.doc_id, r.epoch, r.n_tokens) for r in plain) == collections.Counter((r.doc_id, r.epoch, r.n_tokens) for r in full) and plain
+
+
 # --- the others ------------------------------------------------------------------------------------
 
 
@@ -180,6 +193,30 @@ def test_chat_pairs(spark):
         assert r.prompt + r.chosen or r.rejected
 
 
+def test_chat_spans_of_long_conversations(spark):
+    """Against a loop over turns; one conversation of thousands of turns, repeated rows, an empty table."""
+    rng = random.Random(2)
+    rows = []
+    for pair in range(12):
+        shared = rng.randrange(4)
+        for side in (True, False):
+            n = 3000 if pair == 0 else rng.randrange(9)
+            rows += [(pair, side, k, rng.choice(["user", "assistant", None]) if k >= shared else "user", f"{'' if k < shared else rng.random()} é🙂" if rng.random() < 0.9 or k < shared else None) for k in range(n)]
+    rows += [r for r in rows if r[0] == 5] + [(20, True, 0, "assistant", "w " * 200_000)]
+    df = spark.createDataFrame([(*r, "kept out") for r in rows], "pair_id long, chosen boolean, turn long, role string, text string, prompt string").repartition(3)
+    got = {r.pair_id: r for r in chat_format.preference_pairs(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for pair, r in got.items():
+        sides = [sorted(((k, role or "", role is not None, t or "", t is not None) for p, s, k, role, t in rows if p == pair and s == side)) for side in (True, False)]
+        turns = [[(x[1] if x[2] else None, x[3] if x[4] else None) for x in s] for s in sides]
+        n = next((i for i, (a, b) in enumerate(zip(*turns)) if a != b), min(map(len, turns)))  # noqa: B905
+        render = lambda ts: "".join(f"<|im_start|>{a or 'unknown'}\n{b or ''}<|im_end|>\n" for a, b in ts)
+        assert (r.n_shared, r.prompt, r.chosen, r.rejected) == (n, render(turns[0][:n]), render(turns[0][n:]), render(turns[1][n:]))
+        for text, mask, own in ((r.chosen, r.chosen_mask, turns[0][n:]), (r.rejected, r.rejected_mask, turns[1][n:])):
+            assert [text[s.start : s.end] for s in mask] == [f"{b or ''}<|im_end|>" for a, b in own if a == "assistant"]
+    assert chat_format.preference_pairs(df.limit(0)).collect() == []
+
+
 def test_url_parts_rules_and_spread(spark):
     rows = [(1, "http://A.Example.com/en/70?x", '<a href="https://friend.test/x">'), (2, "http://com/en/", None), (3, "no url", ""), (4, None, None), (5, "http://x.example.net/de/81#f", None), (6, "http://x.net/de/1", None), (7, "HTTP://friend.test/other", '<a HREF=//foe.test>'), (8, "http://foe.test?en/", '<a href="http://sub.example.org/es/1">'), (9, "http://sub.example.org/es/1", None), (9, "http://sub.example.org/es/1", None), (10, "a://b://c/d?e", None)]
     got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
