@@ -46,9 +46,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, by target weights: rare sources in several epochs, the abundant ones in part."""
     placed = docs.withColumn("domain", mixing.domain_of(F.col("source")))
-    taken = mixing.mix(placed, F.expr("coalesce(sum(supply), 0)"), max_epochs=4)
-    copies = taken.select(F.col("doc_id").alias("__id"), "domain", "epoch", "n_tokens")
-    return docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns, "domain", "epoch", "n_tokens")
+    taken = mixing.mix(placed, F.expr("coalesce(sum(supply), 0)"), max_epochs=4, carry=tuple(docs.columns))
+    return taken.select(*docs.columns, "domain", "epoch", "n_tokens")
 
 
 STAGES = [
