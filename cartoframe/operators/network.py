@@ -146,8 +146,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None =
             step = step.where(F.col("cost") <= cutoff)
         extra = [F.min_by("path", F.struct("cost", "path")).alias("path")] if paths else []
         step = step.groupBy("source", "node").agg(F.min("cost").alias("cost"), *extra)
-        known = best.select("source", "node", F.col("cost").alias("old"))
-        better = scratch.table(step.join(known, ["source", "node"], "left").where("old is null or cost < old").drop("old"))
+        known = best.select("source", "node", F.col("cost").alias("old"), *([F.col("path").alias("old_path")] if paths else []))
+        ahead = "old is null or cost < old" + (" or (cost = old and path < old_path)" if paths else "")
+        better = scratch.table(step.join(known, ["source", "node"], "left").where(ahead).select(*best.columns))
         if not better.limit(1).count():
             return best
         after = scratch.table(best.join(better.select("source", "node"), ["source", "node"], "left_anti").unionByName(better))

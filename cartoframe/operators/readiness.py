@@ -37,15 +37,15 @@ def component(df: DataFrame) -> DataFrame:
 
 
 def city_scores(components: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """city_id, score: the weighted mean over the categories that are present."""
+    """city_id, score: the weighted mean over the categories that are present.  Halves of a tenth go up, whatever the order of the sums."""
     w = F.coalesce(*[F.when(F.col("category") == k, F.lit(v)) for k, v in weights.items()])
-    return components.withColumn("w", w).where("w is not null").groupBy("city_id").agg(F.round(F.sum(F.col("w") * F.col("component")) / F.sum("w"), 1).alias("score"))
+    return components.withColumn("w", w).where("w is not null").groupBy("city_id").agg(F.round(F.round(F.sum(F.col("w") * F.col("component")) / F.sum("w"), 6), 1).alias("score"))
 
 
 def region_scores(cities: DataFrame) -> DataFrame:
     """region, score, cities, best_city; cities: region, city_id, name, population, score.  Weighted by population, or plainly where there is none."""
     people = F.sum(F.coalesce("population", F.lit(0)))
-    return cities.groupBy("region").agg(F.round(F.when(people > 0, F.sum(F.col("score") * F.coalesce("population", F.lit(0))) / people).otherwise(F.avg("score")), 1).alias("score"), F.count(F.lit(1)).alias("cities"), F.max_by("name", F.struct("score", -F.col("city_id"))).alias("best_city"))
+    return cities.groupBy("region").agg(F.round(F.round(F.when(people > 0, F.sum(F.col("score") * F.coalesce("population", F.lit(0))) / people).otherwise(F.avg("score")), 6), 1).alias("score"), F.count(F.lit(1)).alias("cities"), F.max_by("name", F.struct("score", -F.col("city_id"))).alias("best_city"))
 
 
 def rank_regions(scores: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -89,9 +89,9 @@ def _(spark, d):
     return catalog.match_vocabulary(q, v).where("rank = 1").select("query", "key", "value", "confidence")
 
 
-@query("reverse_geocode", ctes("geo_points", "geo_refs") + f", p AS (SELECT feature_id, r.name, {hav('s.lon', 's.lat', 'r.lon', 'r.lat')} AS km, r.ref_id FROM geo_points s, geo_refs r WHERE feature_id % 10 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY km, ref_id) AS rn FROM p) SELECT feature_id, name, round(km, 6) AS distance_km FROM n WHERE rn = 1")
+@query("reverse_geocode", ctes("geo_points", "geo_refs") + f", p AS (SELECT feature_id, r.name, {hav('s.lon', 's.lat', 'r.lon', 'r.lat')} AS km, r.ref_id FROM geo_points s, geo_refs r), n AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY km, ref_id) AS rn FROM p) SELECT feature_id, name, round(km, 6) AS distance_km FROM n WHERE rn = 1")
 def _(spark, d):
-    points = layer(spark, d, "geo_points").where("feature_id % 10 = 0").select("feature_id", "lon", "lat")
+    points = layer(spark, d, "geo_points").select("feature_id", "lon", "lat")
     return catalog.reverse_geocode(points, layer(spark, d, "geo_refs"), "feature_id", "ref_id")
 
 
@@ -103,16 +103,16 @@ def _(spark, d):
 
 # --- readiness ---------------------------------------------------------------------------------------
 
-_READY = f"""{ctes('geo_points', 'geo_refs')}, c AS (SELECT * FROM geo_points WHERE feature_id % 25 = 0), f AS (SELECT ref_id, lon, lat, ['hospitals', 'fire', 'police', 'shelters'][ref_id % 4 + 1] AS category FROM geo_refs),
+_READY = f"""{ctes('geo_points', 'geo_refs')}, c AS (SELECT * FROM geo_points), f AS (SELECT ref_id, lon, lat, ['hospitals', 'fire', 'police', 'shelters'][ref_id % 4 + 1] AS category FROM geo_refs),
 p AS (SELECT c.feature_id, category, {hav('c.lon', 'c.lat', 'f.lon', 'f.lat')} AS km FROM c, f WHERE {hav('c.lon', 'c.lat', 'f.lon', 'f.lat')} <= 150),
 m AS (SELECT feature_id, category, list(km ORDER BY km) AS d FROM p GROUP BY feature_id, category),
 t AS (SELECT feature_id, category, round(d[1], 2) AS nearest_km, round(d[len(d)//2 + 1], 2) AS median_km, len(d) AS facilities FROM m),
-k AS (SELECT *, round(greatest(0, least(100, 100*(1 - nearest_km/50))), 1) AS component FROM t), s AS (SELECT feature_id, round(sum(0.25e0*component)/sum(0.25e0), 1) AS score FROM k GROUP BY feature_id),
-r AS (SELECT admin_id AS region, round(sum(score*population)/sum(population), 1) AS score, count(*) AS cities FROM s JOIN c USING (feature_id) GROUP BY admin_id)"""
+k AS (SELECT *, round(greatest(0, least(100, 100*(1 - nearest_km/50))), 1) AS component FROM t), s AS (SELECT feature_id, round(round(sum(0.25e0*component)/sum(0.25e0), 6), 1) AS score FROM k GROUP BY feature_id),
+r AS (SELECT admin_id AS region, round(round(sum(score*population)/sum(population), 6), 1) AS score, count(*) AS cities FROM s JOIN c USING (feature_id) GROUP BY admin_id)"""
 
 
 def _metrics(spark, d):
-    cities = layer(spark, d, "geo_points").where("feature_id % 25 = 0")
+    cities = layer(spark, d, "geo_points")
     kinds = F.array(*map(F.lit, readiness.WEIGHTS))
     facilities = layer(spark, d, "geo_refs").select("ref_id", "lon", "lat", F.get(kinds, (F.col("ref_id") % 4).cast("int")).alias("category"))
     pairs = D.within(cities.select(F.col("feature_id").alias("city_id"), "lon", "lat"), facilities, 150).select("city_id", F.col("ref.category").alias("category"), F.col("distance_km").alias("km"))

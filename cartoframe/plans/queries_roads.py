@@ -70,9 +70,9 @@ def _(spark, d):
     return c.select("way_id", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
 
 
-@query("dependencies", ctes("geo_ways", "geo_way_tags", "geo_nodes") + " SELECT DISTINCT node_id AS id FROM geo_ways JOIN geo_way_tags USING (way_id) JOIN geo_nodes USING (node_id) WHERE highway = 'motorway' AND way_id % 10 = 0")
+@query("dependencies", ctes("geo_ways", "geo_way_tags", "geo_nodes") + " SELECT DISTINCT node_id AS id FROM geo_ways JOIN geo_way_tags USING (way_id) JOIN geo_nodes USING (node_id) WHERE highway = 'motorway'")
 def _(spark, d):
-    w = layer(spark, d, "geo_ways").join(layer(spark, d, "geo_way_tags").where("highway = 'motorway' and way_id % 10 = 0"), "way_id")
+    w = layer(spark, d, "geo_ways").join(layer(spark, d, "geo_way_tags").where("highway = 'motorway'"), "way_id")
     kept = w.groupBy("way_id").agg(F.collect_list("node_id").alias("node_refs"))
     return T.with_dependencies(kept, layer(spark, d, "geo_nodes").select(F.col("node_id").alias("id")))
 
@@ -276,11 +276,11 @@ def _(spark, d):
     return transit.report(feed(spark, d))
 
 
-@query("route_density", ctes("geo_ways", "geo_nodes") + """, p AS (SELECT way_id, pos, lon, lat FROM geo_ways JOIN geo_nodes USING (node_id) WHERE way_id % 20 = 0), k AS (SELECT way_id FROM p GROUP BY way_id HAVING count(*) >= 2), q AS (SELECT p.* FROM p JOIN k USING (way_id)),
+@query("route_density", ctes("geo_ways", "geo_nodes") + """, p AS (SELECT way_id, pos, lon, lat FROM geo_ways JOIN geo_nodes USING (node_id)), k AS (SELECT way_id FROM p GROUP BY way_id HAVING count(*) >= 2), q AS (SELECT p.* FROM p JOIN k USING (way_id)),
 c AS (SELECT way_id, avg(lon) AS lon, avg(lat) AS lat FROM q GROUP BY way_id), b AS (SELECT min(lat) AS y0, min(lon) AS x0, 30000/111132e0 AS sy, 30000/(111132e0*cos(radians((min(lat)+max(lat))/2))) AS sx FROM c)
 SELECT CAST(trunc((lat-y0)/sy) AS BIGINT) AS grid_row, CAST(trunc((lon-x0)/sx) AS BIGINT) AS grid_col, count(DISTINCT way_id) AS route_count FROM q, b GROUP BY 1, 2""")
 def _(spark, d):
-    lines = ways.assemble(layer(spark, d, "geo_ways").where("way_id % 20 = 0"), layer(spark, d, "geo_nodes"))
+    lines = ways.assemble(layer(spark, d, "geo_ways"), layer(spark, d, "geo_nodes"))
     return grid.route_density(lines, 30000.0, "way_id")
 
 
@@ -317,12 +317,17 @@ def _(spark, d):
 # --- networks --------------------------------------------------------------------------------------
 
 
-def _small(spark, d):
-    """A sparse part of the network: nodes of every 40th order."""
-    return layer(spark, d, "geo_ways").where("way_id % 40 = 0 and pos <= 3")
+def _network(spark, d):
+    return network.build_by_nodes(layer(spark, d, "geo_ways"), layer(spark, d, "geo_nodes"))
 
 
-_NET = ctes("geo_ways", "geo_nodes") + f""", r AS (SELECT w.* FROM geo_ways w WHERE way_id % 40 = 0 AND pos <= 3), v AS (SELECT DISTINCT node_id FROM (SELECT min_by(node_id, pos) AS node_id FROM r GROUP BY way_id UNION ALL SELECT max_by(node_id, pos) FROM r GROUP BY way_id UNION ALL SELECT node_id FROM (SELECT DISTINCT way_id, node_id FROM r) GROUP BY node_id HAVING count(*) >= 2)),
+def _snapped(spark, d, edges):
+    """(source): the network node nearest to every reference place."""
+    at = layer(spark, d, "geo_nodes").join(edges.select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi")
+    return network.nearest_node(layer(spark, d, "geo_refs").select("ref_id", "lon", "lat"), at, "ref_id").select(F.col("node_id").alias("source"))
+
+
+_NET = ctes("geo_ways", "geo_nodes") + f""", r AS (SELECT w.* FROM geo_ways w), v AS (SELECT DISTINCT node_id FROM (SELECT min_by(node_id, pos) AS node_id FROM r GROUP BY way_id UNION ALL SELECT max_by(node_id, pos) FROM r GROUP BY way_id UNION ALL SELECT node_id FROM (SELECT DISTINCT way_id, node_id FROM r) GROUP BY node_id HAVING count(*) >= 2)),
 pl AS (SELECT way_id, pos, r.node_id, lon, lat, v.node_id IS NOT NULL AS stop, lag(lon) OVER w AS x0, lag(lat) OVER w AS y0 FROM r JOIN geo_nodes USING (node_id) LEFT JOIN v ON v.node_id = r.node_id WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
 al AS (SELECT *, sum(coalesce({hav('x0', 'y0', 'lon', 'lat', 6371008.8)}, 0)) OVER (PARTITION BY way_id ORDER BY pos) AS along FROM pl),
 sp AS (SELECT way_id, node_id AS u, lead(node_id) OVER w AS v, lead(along) OVER w - along AS m FROM al WHERE stop WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
@@ -331,48 +336,47 @@ ed AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(m) AS length_m FROM sp
 
 @query("network_edges", _NET + " SELECT u, v, round(length_m, 3) AS length_m FROM ed")
 def _(spark, d):
-    return network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes")).withColumn("length_m", F.round("length_m", 3))
+    return _network(spark, d).withColumn("length_m", F.round("length_m", 3))
+
+
+_LABEL_SPREAD = """, rc(id, r) USING KEY (id) AS (SELECT DISTINCT a, a FROM e2 UNION SELECT e2.b, min(p.r) FROM rc p JOIN e2 ON e2.a = p.id JOIN recurring.rc c ON c.id = e2.b WHERE p.r < c.r GROUP BY e2.b)"""
 
 
-@query("network_components", _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, e2 AS (SELECT u AS a, v AS b FROM ed UNION ALL SELECT v, u FROM ed), rc AS (SELECT DISTINCT a AS id, a AS r FROM e2 UNION SELECT e2.b, rc.r FROM rc JOIN e2 ON e2.a = rc.id) SELECT id, min(r) AS component FROM rc GROUP BY id""")
+@query("network_components", _NET.replace("WITH ", "WITH RECURSIVE ", 1) + ", e2 AS (SELECT u AS a, v AS b FROM ed UNION ALL SELECT v, u FROM ed)" + _LABEL_SPREAD + " SELECT id, r AS component FROM rc")
 def _(spark, d):
-    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
-    return network.connected_components(e, "u", "v")
+    return network.connected_components(_network(spark, d), "u", "v")
 
 
-_PATHS = _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, e2 AS (SELECT u AS a, v AS b, length_m FROM ed UNION ALL SELECT v, u, length_m FROM ed), s AS (@sources@),
+_SNAPPED = ctes("geo_refs").replace("WITH ", "WITH RECURSIVE ", 1) + _NET.replace("WITH ", ", ", 1) + f""", sn AS (SELECT point_id, node_id FROM (SELECT r.ref_id AS point_id, n.node_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY {hav('r.lon', 'r.lat', 'n.lon', 'n.lat')}, n.node_id) AS k FROM geo_refs r, geo_nodes n WHERE n.node_id IN (SELECT u FROM ed)) WHERE k = 1),
+e2 AS (SELECT u AS a, v AS b, length_m FROM ed UNION ALL SELECT v, u, length_m FROM ed), s AS (SELECT DISTINCT node_id AS source FROM sn),
 w(source, node, cost) USING KEY (source, node) AS (SELECT source, source, 0e0 FROM s UNION SELECT p.source, e2.b, min(p.cost + e2.length_m) FROM w p JOIN e2 ON e2.a = p.node LEFT JOIN recurring.w r ON r.source = p.source AND r.node = e2.b WHERE r.cost IS NULL OR p.cost + e2.length_m < r.cost GROUP BY p.source, e2.b)"""
-_THREE = _PATHS.replace("@sources@", "SELECT DISTINCT u AS source FROM ed ORDER BY u LIMIT 3")
-_SNAPPED = _PATHS.replace("@sources@", "SELECT DISTINCT node_id AS source FROM sn").replace(", e2 AS", f""", sn AS (SELECT point_id, node_id FROM (SELECT r.ref_id AS point_id, n.node_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY {hav('r.lon', 'r.lat', 'n.lon', 'n.lat')}, n.node_id) AS k FROM geo_refs r, geo_nodes n WHERE r.ref_id < 6 AND n.node_id IN (SELECT u FROM ed)) WHERE k = 1), e2 AS""", 1).replace("WITH RECURSIVE ", ctes("geo_refs").replace("WITH ", "WITH RECURSIVE ", 1) + ", ", 1)
 
 
-@query("shortest_paths", _THREE + " SELECT source, node, round(cost, 3) AS cost FROM w")
+@query("shortest_paths", _SNAPPED + " SELECT source, node, round(cost, 3) AS cost FROM w")
 def _(spark, d):
-    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
-    sources = e.select(F.col("u").alias("source")).distinct().orderBy("source").limit(3)
-    return network.shortest_paths(e, sources).withColumn("cost", F.round("cost", 3))
+    e = _network(spark, d)
+    return network.shortest_paths(e, _snapped(spark, d, e)).withColumn("cost", F.round("cost", 3))
 
 
-@query("isochrone_nodes", _THREE + """ SELECT source, l AS "limit", node, round(cost, 3) AS cost, lon, lat FROM w JOIN geo_nodes ON node = node_id, (SELECT unnest([400000e0, 800000e0]) AS l) WHERE cost <= l""")
+@query("isochrone_nodes", _SNAPPED + """ SELECT source, l AS "limit", node, round(cost, 3) AS cost, lon, lat FROM w JOIN geo_nodes ON node = node_id, (SELECT unnest([100000e0, 200000e0]) AS l) WHERE cost <= l""")
 def _(spark, d):
-    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
-    sources = e.select(F.col("u").alias("source")).distinct().orderBy("source").limit(3)
-    return network.isochrone(e, sources, (400_000.0, 800_000.0), layer(spark, d, "geo_nodes")).withColumn("cost", F.round("cost", 3))
+    e = _network(spark, d)
+    return network.isochrone(e, _snapped(spark, d, e), (100_000.0, 200_000.0), layer(spark, d, "geo_nodes")).withColumn("cost", F.round("cost", 3))
 
 
 @query("route_matrix", _SNAPPED + """ SELECT a.point_id AS "from", b.point_id AS "to", round(coalesce(w.cost/1000, -1), 4) AS distance_km FROM sn a JOIN sn b ON a.point_id <> b.point_id LEFT JOIN w ON w.source = a.node_id AND w.node = b.node_id""")
 def _(spark, d):
-    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes"))
+    e = _network(spark, d)
     at = layer(spark, d, "geo_nodes").join(e.select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi")
-    points = layer(spark, d, "geo_refs").where("ref_id < 6").select(F.col("ref_id").alias("point_id"), "lon", "lat")
+    points = layer(spark, d, "geo_refs").select(F.col("ref_id").alias("point_id"), "lon", "lat")
     return network.route_matrix(points, e, at).withColumn("distance_km", F.round("distance_km", 4))
 
 
-@query("logical_decision_nodes", ctes("geo_ways", "geo_way_tags") + """, r AS (SELECT * FROM geo_ways WHERE way_id % 40 = 0), e AS (SELECT min_by(node_id, pos) AS node_id FROM r GROUP BY way_id UNION ALL SELECT max_by(node_id, pos) FROM r GROUP BY way_id),
+@query("logical_decision_nodes", ctes("geo_ways", "geo_way_tags") + """, r AS (SELECT * FROM geo_ways), e AS (SELECT min_by(node_id, pos) AS node_id FROM r GROUP BY way_id UNION ALL SELECT max_by(node_id, pos) FROM r GROUP BY way_id),
 u AS (SELECT node_id FROM r JOIN geo_way_tags USING (way_id) GROUP BY node_id HAVING count(*) >= 3 OR count(DISTINCT highway) > 1 OR count(DISTINCT coalesce(ref, '')) > 1) SELECT DISTINCT node_id FROM (SELECT * FROM e UNION ALL SELECT * FROM u)""")
 def _(spark, d):
     attributes = layer(spark, d, "geo_way_tags").select("way_id", F.col("highway").alias("cls"), "ref")
-    return network.decision_nodes(layer(spark, d, "geo_ways").where("way_id % 40 = 0"), attributes)
+    return network.decision_nodes(layer(spark, d, "geo_ways"), attributes)
 
 
 @query("logical_edges")
@@ -417,10 +421,11 @@ def _(spark, d):
     return importance.cell_budgets(cells, dict.fromkeys(importance.ZOOMS, 500.0), 10000.0).withColumn("road_km", F.round("road_km", 4))
 
 
-@query("corridors", _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, ce AS (SELECT u*100000 + v AS id, u, v, u % 3 AS t FROM ed), l AS (SELECT a.id AS x, b.id AS y FROM ce a JOIN ce b ON a.t = b.t AND a.id <> b.id AND (a.u IN (b.u, b.v) OR a.v IN (b.u, b.v))),
-rc AS (SELECT id, id AS r FROM ce UNION SELECT l.y, rc.r FROM rc JOIN l ON l.x = rc.id) SELECT id AS edge_id, min(r) AS corridor FROM rc GROUP BY id""")
+@query("corridors", _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, ce AS (SELECT u*100000 + v AS id, u, v, u % 3 AS t FROM ed), en AS (SELECT id, t, u AS n FROM ce UNION ALL SELECT id, t, v FROM ce),
+e2 AS (SELECT -(n*3 + t) - 1 AS a, id AS b FROM en UNION ALL SELECT id, -(n*3 + t) - 1 FROM en), rc(id, r) USING KEY (id) AS (SELECT DISTINCT a, CASE WHEN a < 0 THEN 9e15::BIGINT ELSE a END FROM e2 UNION SELECT e2.b, min(p.r) FROM rc p JOIN e2 ON e2.a = p.id JOIN recurring.rc c ON c.id = e2.b WHERE p.r < c.r GROUP BY e2.b)
+SELECT id AS edge_id, r AS corridor FROM rc WHERE id >= 0""")
 def _(spark, d):
-    e = network.build_by_nodes(_small(spark, d), layer(spark, d, "geo_nodes")).withColumn("edge_id", F.col("u") * 100000 + F.col("v"))
+    e = _network(spark, d).withColumn("edge_id", F.col("u") * 100000 + F.col("v"))
     e = e.withColumn("ref", F.concat(F.lit("R"), (F.col("u") % 3).cast("string"))).withColumn("name", F.lit(""))
     return importance.corridors(e)
 

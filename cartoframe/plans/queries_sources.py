@@ -67,10 +67,10 @@ def _(spark, d):
     return catalog.state_fips(asked, states)
 
 
-@query("geocode", "SELECT c_name AS query, -100e0 + (c_custkey*7919 % 10000)/1e3 AS lon, 35e0 + (c_custkey*104729 % 7000)/1e3 AS lat FROM customer WHERE c_custkey % 9 = 0")
+@query("geocode", "SELECT c_name AS query, -100e0 + (c_custkey*7919 % 10000)/1e3 AS lon, 35e0 + (c_custkey*104729 % 7000)/1e3 AS lat FROM customer")
 def _(spark, d):
     g = layer(spark, d, "geo_points")
-    return catalog.geocode(g.where("feature_id % 9 = 0").select(F.col("name").alias("query")), g.select("name", "lon", "lat", "population"))
+    return catalog.geocode(g.select(F.col("name").alias("query")), g.select("name", "lon", "lat", "population"))
 
 
 @query("upsert", "SELECT k, max(v) AS v FROM (SELECT c_custkey AS k, 0 AS v FROM customer UNION ALL SELECT o_custkey, o_orderkey FROM orders) GROUP BY k")
@@ -101,11 +101,11 @@ def _(spark, d):
     return cut_by_region(layer(spark, d, "geo_changes").join(at, "osm_id"), areas).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("way_density", ctes("geo_ways", "geo_nodes") + f""", p AS (SELECT way_id, lon, lat, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM geo_ways JOIN geo_nodes USING (node_id) WHERE way_id % 10 = 0 WINDOW w AS (PARTITION BY way_id ORDER BY pos))
+@query("way_density", ctes("geo_ways", "geo_nodes") + f""", p AS (SELECT way_id, lon, lat, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM geo_ways JOIN geo_nodes USING (node_id) WINDOW w AS (PARTITION BY way_id ORDER BY pos))
 SELECT way_id, CAST(sum(greatest(1, ceil(round({hav('x', 'y', 'lon', 'lat', 6371000.0)}/100000, 9)))) + 1 AS BIGINT) AS n FROM p WHERE x IS NOT NULL GROUP BY way_id""")
 def _(spark, d):
-    w = way_lines(spark, d).where("way_id % 10 = 0")
-    return w.select("way_id", F.size(G.densify(F.col("coords"), 100_000.0)).cast("long").alias("n"))
+    w = way_lines(spark, d)
+    return w.where(F.size("coords") > 1).select("way_id", F.size(G.densify(F.col("coords"), 100_000.0)).cast("long").alias("n"))
 
 
 @query("graph_validate", "SELECT 0 AS lost_nodes, 0 AS loops")
@@ -114,10 +114,10 @@ def _(spark, d):
     return graph_store.validate(network.build_by_nodes(refs, nodes), nodes).select("lost_nodes", "loops")
 
 
-@query("route_estimate", ctes("geo_points", "geo_refs") + f" SELECT feature_id, round({hav('s.lon', 's.lat', 'r.lon', 'r.lat')}*1.3, 6) AS distance_km FROM geo_points s JOIN geo_refs r ON s.admin_id = r.admin_id AND r.ref_id % 20 = 0")
+@query("route_estimate", ctes("geo_points", "geo_refs") + f" SELECT feature_id, round({hav('s.lon', 's.lat', 'r.lon', 'r.lat')}*1.3, 6) AS distance_km FROM geo_points s JOIN geo_refs r ON s.admin_id = r.admin_id")
 def _(spark, d):
     s = layer(spark, d, "geo_points").select("feature_id", "admin_id", F.col("lon").alias("from_lon"), F.col("lat").alias("from_lat"))
-    r = layer(spark, d, "geo_refs").where("ref_id % 20 = 0").select("admin_id", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"))
+    r = layer(spark, d, "geo_refs").select("admin_id", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"))
     return network.route_estimate(s.join(r, "admin_id")).select("feature_id", F.round("distance_km", 6).alias("distance_km"))
 
 
@@ -142,13 +142,13 @@ def _(spark, d):
     return network.build_by_coordinates(lines, 10.0, 0.5)[0].withColumn("length_m", F.round("length_m", 3))
 
 
-@query("snap_to_network", ctes("geo_points", "geo_nodes") + f", p AS (SELECT feature_id, node_id, {hav('s.lon', 's.lat', 'n.lon', 'n.lat')} AS km FROM geo_points s, geo_nodes n WHERE feature_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY km, node_id) AS rn FROM p) SELECT feature_id, node_id, round(km, 6) AS gap_km FROM r WHERE rn = 1")
+@query("snap_to_network", ctes("geo_points", "geo_nodes") + f", p AS (SELECT feature_id, node_id, {hav('s.lon', 's.lat', 'n.lon', 'n.lat')} AS km FROM geo_points s, geo_nodes n), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY km, node_id) AS rn FROM p) SELECT feature_id, node_id, round(km, 6) AS gap_km FROM r WHERE rn = 1")
 def _(spark, d):
-    points = layer(spark, d, "geo_points").where("feature_id % 10 = 0").select("feature_id", "lon", "lat")
+    points = layer(spark, d, "geo_points").select("feature_id", "lon", "lat")
     return network.nearest_node(points, layer(spark, d, "geo_nodes"), "feature_id").withColumn("gap_km", F.round("gap_km", 6))
 
 
-@query("od_pairs_within_groups", ctes("geo_points") + f" SELECT a.feature_id AS a, b.feature_id AS b, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 6) AS km FROM geo_points a JOIN geo_points b ON a.admin_id = b.admin_id AND a.feature_id < b.feature_id AND a.feature_id % 15 = 0 AND b.feature_id % 15 = 0")
+@query("od_pairs_within_groups", ctes("geo_points") + f" SELECT a.feature_id AS a, b.feature_id AS b, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 6) AS km FROM geo_points a JOIN geo_points b ON a.admin_id = b.admin_id AND a.feature_id < b.feature_id")
 def _(spark, d):
-    p = layer(spark, d, "geo_points").where("feature_id % 15 = 0").select("feature_id", "admin_id", "lon", "lat")
+    p = layer(spark, d, "geo_points").select("feature_id", "admin_id", "lon", "lat")
     return D.point_pairs(p, "feature_id", "admin_id").select(F.col("a.feature_id").alias("a"), F.col("b.feature_id").alias("b"), F.round("distance_km", 6).alias("km"))
