@@ -20,19 +20,22 @@ at least a rational threshold p/q.  The work is done in three steps.
 3. *Signature trees.*  A group is cut into blocks of bounded size.  A block's
    sets become the leaves of a tree whose nodes hold the OR of the token bitmaps
    below and the ranges of set size and bitmap weight.  A dual traversal drops
-   every node pair whose largest possible overlap cannot reach the threshold;
-   pairs of leaves that stay are compared exactly.  Leaves that are connected
-   already are not compared again, unless every link is asked for.  In a group of
-   several blocks each block is first joined with the group's smallest document;
-   only documents that this leaves unconnected go on to the other blocks.
+   every node pair whose largest possible overlap cannot reach the threshold.
+   First only sizes and bitmaps travel (a sixteenth of the sets' bytes or so), and
+   members that nobody in their group can link with go; then the sets of the others
+   travel, and pairs of leaves that stay are compared exactly.  Leaves that are
+   connected already are not compared again, unless every link is asked for.  In a
+   group of several blocks each block is first joined with the group's smallest
+   document; only documents that this leaves unconnected go on to the other blocks.
 
 Set members are 64-bit hashes of the n-grams.  Parts are processed as packed
 arrays, so a posting costs no JVM row.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 links with nothing.  A text of fewer than n words is one n-gram, the whole
-sequence.  Rows that share a doc_id are one vertex.  A row without doc_id keeps
-its set size and gets a null component.  Extra columns are ignored.
+sequence; long texts are taken whole.  Rows that share a doc_id are one vertex.  A
+row without doc_id keeps its set size and gets a null component.  Extra columns,
+also ones named like a result, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,8 +54,10 @@ from cartoframe.runtime import Scratch
 
 #: Sets in a block and set members in a block.
 BLOCK_SETS, BLOCK_MEMBERS = 2048, 2_000_000
-#: A node of the tree has so many children; bits of a token bitmap.
-FANOUT, BITS = 8, 1024
+#: Set members whose postings (about 4 bytes for each) meet in one task.
+PLACE_MEMBERS = 16_000_000
+#: A node of the tree has so many children; a token bitmap has at least this many bits for each member, a power of two between the bounds.
+FANOUT, BITS_EACH, BITS_LEAST, BITS_MOST = 8, 2, 256, 1 << 16
 #: Counters of the hashed n-gram counts, in so many rows; one above COMMON times the mean marks common n-grams.
 COUNTERS, CHUNKS, COMMON = 1 << 19, 16, 3
 _RATIO = 1.4
@@ -96,11 +101,23 @@ def _keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tk.mix(_sums(tk.mix(hashes), bounds)), tk.mix(_sums(tk.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds) + np.uint64(1))
 
 
+def _bits(size: np.ndarray) -> np.ndarray:
+    """Bits of the token bitmap of sets of these sizes."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(1, BITS_EACH * size))).astype(np.int64), BITS_LEAST, BITS_MOST)
+
+
+def _bitmap(hashes: np.ndarray, bits: int) -> bytes:
+    """Bit i is set if a member's mixed hash is i modulo `bits`: the halves of a bitmap, OR-combined, are the bitmap of half as many bits."""
+    flags = np.zeros(bits, bool)
+    flags[(tk.mix(hashes) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
 def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2: the set's size and fingerprints.  Rows with a `chunk` hold a task's n-gram counts instead."""
+    """doc_id, n_shingles, k1, k2, low, bitmap: the set's size, fingerprints, least hash and token bitmap.  Rows with a `chunk` hold a task's n-gram counts instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "k1", "k2", "chunk", "counts"]
+        names = ["doc_id", "n_shingles", "k1", "k2", "low", "bitmap", "chunk", "counts"]
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             ids = batch.column(0)
@@ -108,13 +125,16 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 hashes, bounds = _distinct(words, n)
                 counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 k1, k2 = _keys(hashes, bounds)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                size = np.diff(bounds)
+                low = [hashes[a].view(np.int64) if k else None for a, k in zip(bounds, size, strict=False)]
+                maps = [_bitmap(hashes[a : a + k], w) if k else None for a, k, w in zip(bounds, size, _bits(size), strict=False)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(low, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         if counts.any():
-            none = pa.nulls(CHUNKS, pa.int64())
+            none = [pa.nulls(CHUNKS, pa.int64())] * 5
             parts = [np.minimum(c, 2**16 - 1).astype(np.uint16).tobytes() for c in np.split(counts, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, low long, bitmap binary, chunk int, counts binary")
 
 
 def _common(sketched: DataFrame) -> np.ndarray:
@@ -161,18 +181,18 @@ def _postings(hashes: np.ndarray, bounds: np.ndarray, p: int, q: int, low: np.nd
         cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1])]))
         with np.errstate(over="ignore"):
             total = np.add.reduceat(tk.mix(h ^ np.uint64(0x5851F42D4C957F2D)), cut)
-            weight = np.minimum(np.add.reduceat(r.astype(np.int64), cut), 3)
+            weight = 1 + np.minimum(np.add.reduceat(r.astype(np.int64), cut), 3)  # an empty part has 0
             t, part = t[cut], part[cut]
             salt = (band[t].astype(np.uint64) << np.uint64(44)) + part + np.uint64(1)
             key = tk.mix(total + tk.mix(salt))
         least = np.zeros(len(size), np.int64)  # parts of less weight are left out: at most `spare`, with the empty ones
-        for w in (1, 2, 3):
+        for w in (1, 2, 3, 4):
             heavy = np.bincount(t[weight >= w], minlength=len(size))
             least[use & (parts - heavy <= spare)] = w
         chosen = weight >= least[t]
         keys.append(key[chosen])
         texts.append(t[chosen])
-        for i in np.flatnonzero(use & (least == 0)):  # the empty parts count, too
+        for i in np.flatnonzero(use & (least == 0)):  # more empty parts than may be left out: they count, too
             absent = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[t == i])
             with np.errstate(over="ignore"):
                 keys.append(tk.mix(tk.mix((band[i : i + 1].astype(np.uint64) << np.uint64(44)) + absent + np.uint64(1))))
@@ -182,10 +202,10 @@ def _postings(hashes: np.ndarray, bounds: np.ndarray, p: int, q: int, low: np.nd
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _bucket_edges(docs: DataFrame, n: int, p: int, q: int, common: np.ndarray) -> DataFrame:
-    """(x, h): document x is in a bucket whose smallest document is h < x."""
+def _bucket_edges(docs: DataFrame, n: int, p: int, q: int, common: np.ndarray, members: int) -> DataFrame:
+    """(x, h): document x is in a bucket whose smallest document is h < x.  members: size of all sets."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common))  # COUNTERS bits
-    low, places = _bands(), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    low, places = _bands(), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members // PLACE_MEMBERS)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed postings by target place."""
@@ -266,32 +286,46 @@ def _bucket_edges(docs: DataFrame, n: int, p: int, q: int, common: np.ndarray) -
 
 
 class Tree:
-    """Signature tree over sorted sets; levels[0] are the leaves."""
+    """Signature tree; levels[0] are the leaves, `order` tells which set each leaf is.
 
-    def __init__(self, sets: list[np.ndarray]):
-        k = len(sets)
-        size = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(k), size)
-        every = np.concatenate(sets) if k else np.zeros(0, np.uint64)
-        bit = (tk.mix(every) & np.uint64(BITS - 1)).astype(np.int64)
-        grid = np.zeros((k, BITS), bool)
-        grid[owner, bit] = True
-        bits = np.packbits(grid, axis=1).view(np.uint64)
-        low = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+    size, low: the sets' sizes and least hashes; maps: their token bitmaps.  All are
+    brought to the bits of the smallest by OR-combining halves.
+    """
+
+    def __init__(self, size: np.ndarray, low: np.ndarray, maps: list[np.ndarray], bits: int | None = None):
+        width = (min(map(len, maps)) if bits is None else bits // 8) if maps else 8
+        grid = np.zeros((len(maps), width), np.uint8)
+        for k, m in enumerate(maps):
+            grid[k] = np.bitwise_or.reduce(m.reshape(-1, width), 0)
+        self.bits = width * 8
         self.order = np.lexsort((low, np.floor(np.log(np.maximum(size, 1)) * 8)))
-        bits, size = bits[self.order], size[self.order]
-        weight = np.bitwise_count(bits).sum(1).astype(np.int64)
-        self.levels = [(bits, size, size, weight)]
+        leaf, size = np.ascontiguousarray(grid[self.order]).view(np.uint64), size[self.order]
+        weight = np.bitwise_count(leaf).sum(1).astype(np.int64)
+        self.levels = [(leaf, size, size, weight)]
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, w = self.levels[-1]
             cut = np.arange(0, len(b), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.minimum.reduceat(w, cut)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], bits: int | None = None) -> Tree:
+        size = np.array([len(s) for s in sets], np.int64)
+        own = _bits(size)
+        maps = [np.frombuffer(_bitmap(s, int(w)), np.uint8) for s, w in zip(sets, own, strict=True)]
+        return cls(size, np.array([s[0] if len(s) else 0 for s in sets], np.uint64), maps, bits)
+
+
+def trees(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[Tree, Tree]:
+    """Trees of two lists of sets, with bitmaps of the same bits."""
+    least = int(min(_bits(np.array([len(s) for s in (*left, *right)], np.int64)), default=BITS_LEAST))
+    return Tree.of(left, least), Tree.of(right, least)
+
 
 def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
     """Which node pairs may hold a link.  A set below node A sets at least (least weight of A) - (bits common to both ORs) bits that no set below B sets, and each such bit is a member that cannot be shared."""
-    if len(i) > 100_000:
-        return np.concatenate([_possible(a, b, i[k : k + 100_000], j[k : k + 100_000], p, q) for k in range(0, len(i), 100_000)])
+    most = max(1, 12_800_000 // max(1, a[0].shape[1] * 8))  # bytes in a piece
+    if len(i) > most:
+        return np.concatenate([_possible(a, b, i[k : k + most], j[k : k + most], p, q) for k in range(0, len(i), most)])
     shared = np.bitwise_count(a[0][i] & b[0][j]).sum(1).astype(np.int64)
     most = np.minimum(a[2][i] - np.maximum(0, a[3][i] - shared), b[2][j] - np.maximum(0, b[3][j] - shared))
     union = np.maximum(a[1][i], most) + np.maximum(b[1][j], most) - most
@@ -361,8 +395,8 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, p: int, q
                 out.append((a, int(b)))
                 label = np.where(label == label[b], label[a], label)
 
-    a = Tree(left)
-    i, j = candidates(a, a if right is None else Tree(right), p, q)
+    a, b = (Tree.of(left),) * 2 if right is None else trees(left, right)
+    i, j = candidates(a, b, p, q)
     i, j = np.concatenate([i, j + base]), np.concatenate([j + base, i])  # both directions: a set's pairs stand together
     order = np.lexsort((j, i)) if first is None else np.lexsort((j, i, i != first))
     i, j = i[order], j[order]
@@ -426,23 +460,46 @@ def _with_sets(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
     return text.join(places.hint("merge"), "x").select("x", "text", "at").mapInArrow(run, schema)
 
 
-def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, common: np.ndarray, scratch: Scratch, every: bool = False) -> DataFrame:
+def _groups_by(df: DataFrame, *key: str) -> DataFrame:
+    return df.repartition(*key).sortWithinPartitions(*key)
+
+
+def _with_partners(placed: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """`placed` (x, h, blocks, block) without members of which the trees of token bitmaps say that nobody in their group can link with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["h", "block"]):
+            maps = [np.frombuffer(m.as_buffer(), np.uint8) for m in group.column("bitmap")]
+            tree = Tree(group.column("size").to_numpy(), group.column("low").to_numpy().view(np.uint64), maps)
+            i, j = candidates(tree, tree, p, q)
+            stay = pa.array(np.unique(np.concatenate([i, j])))
+            for batch in group.select(["x", "h", "blocks", "block"]).take(stay).combine_chunks().to_batches():
+                yield batch
+
+    one = placed.where("blocks = 1").join(sketches.select("x", "size", "low", "bitmap"), "x").select("x", "h", "blocks", "block", "size", "low", "bitmap")
+    kept = _groups_by(one, "h", "block").mapInArrow(run, "x long, h long, blocks int, block int").distinct()  # rows that share an id come several times
+    return kept.union(placed.where("blocks > 1").select("x", "h", "blocks", "block"))
+
+
+def links(docs: DataFrame, n: int, p: int, q: int, *, sketches: DataFrame, classes: DataFrame, common: np.ndarray, scratch: Scratch, every: bool = False) -> DataFrame:
     """(u, v) between class representatives: all links (`every`), or enough of them to connect what is linked."""
     reps = classes.select(F.col("rep").alias("x"), F.col("n_shingles").alias("n"))
-    edges = scratch.table(_bucket_edges(docs, n, p, q, common).join(reps.select("x", "n"), "x"))
+    members = sketches.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    edges = scratch.table(_bucket_edges(docs, n, p, q, common, members).join(reps.select("x", "n"), "x"))
     member = edges.select("h", "x", "n").union(edges.select("h", F.col("h").alias("x"), F.lit(0).alias("n")).distinct())
     blocks = edges.groupBy("h").agg(F.greatest(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    blocks = scratch.table(blocks)  # the join reads both sides as they are, so that Spark can split a hub's group
     member = member.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     placed = member.where("x <> h").select("x", "h", "blocks", "block").union(
         blocks.select(F.col("h").alias("x"), "h", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    placed = scratch.table(placed)
+    placed = scratch.table(_with_partners(scratch.table(placed), sketches, p, q))
     places = placed.groupBy("x").agg(F.collect_list(F.struct("h", "blocks", "block")).alias("at"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["h", "block"]):
             ids = group.column("x").to_pylist()
             sets, h = _sets(group.column("members")), group.column("h")[0].as_py()
-            hub = ids.index(h)
+            hub = ids.index(h) if h in ids else None
             found, label = tree_links(sets, None, p, q, hub, every)
             u, v, kind = [ids[a] for a, _ in found], [ids[b] for _, b in found], [0] * len(found)
             if group.column("blocks")[0].as_py() > 1:
@@ -450,10 +507,7 @@ def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, common
                 u, v, kind = u + rest, v + [h] * len(rest), kind + [1] * len(rest)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(kind, pa.int32())], ["u", "v", "kind"])
 
-    def ordered(df: DataFrame, *key: str) -> DataFrame:
-        return df.repartition(*key).sortWithinPartitions(*key)
-
-    found = scratch.table(ordered(_with_sets(docs, places, n), "h", "block").mapInArrow(solve, "u long, v long, kind int"))
+    found = scratch.table(_groups_by(_with_sets(docs, places, n), "h", "block").mapInArrow(solve, "u long, v long, kind int"))
     out = found.where("kind = 0").select("u", "v")
     if found.where("kind = 1").limit(1).count():
         # what no hub connected, in chunks, against every other block of its group
@@ -473,7 +527,7 @@ def links(docs: DataFrame, n: int, p: int, q: int, *, classes: DataFrame, common
                 pairs = [(there[i], there[j]) for i, j in pairs if there[i] != there[j]]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
 
-        out = out.union(scratch.table(ordered(cross, "h", "chunk", "block").mapInArrow(solve_cross, "u long, v long")))
+        out = out.union(scratch.table(_groups_by(cross, "h", "chunk", "block").mapInArrow(solve_cross, "u long, v long")))
     if every:
         out = out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return out
@@ -487,15 +541,19 @@ def _classes(sizes: DataFrame) -> DataFrame:
     return sizes.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
 
+def _sketches(sketched: DataFrame) -> DataFrame:
+    return sketched.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("size"), "low", "bitmap")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, pairs): the class `rep` of every document, and all links (u, v), u < v, between class representatives."""
     docs = _prepared(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "jaccard")
     sketched = scratch.table(sketch(docs, n))
-    sizes, common = sketched.where("chunk is null").drop("chunk", "counts"), _common(sketched)
-    classes = _classes(sizes)
+    sizes, common = sketched.where("chunk is null").drop("low", "bitmap", "chunk", "counts"), _common(sketched)
+    classes = scratch.table(_classes(sizes))  # likewise, for a class of many copies
     members = sizes.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
-    return members, links(docs, n, p, q, classes=classes, common=common, scratch=scratch, every=True)
+    return members, links(docs, n, p, q, sketches=_sketches(sketched), classes=classes, common=common, scratch=scratch, every=True)
 
 
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -503,9 +561,9 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int =
     docs = _prepared(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "jaccard")
     sketched = scratch.table(sketch(docs, n))
-    sizes, common = sketched.where("chunk is null").drop("chunk", "counts"), _common(sketched)
-    classes = _classes(sizes)
-    groups = scratch.table(connected_components(links(docs, n, p, q, classes=classes, common=common, scratch=scratch), "u", "v").where("id <> component"))
+    sizes, common = sketched.where("chunk is null").drop("low", "bitmap", "chunk", "counts"), _common(sketched)
+    classes = scratch.table(_classes(sizes))  # likewise, for a class of many copies
+    groups = scratch.table(connected_components(links(docs, n, p, q, sketches=_sketches(sketched), classes=classes, common=common, scratch=scratch), "u", "v").where("id <> component"))
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return sizes.join(named, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -116,7 +116,7 @@ def test_tree_keeps_every_link():
     assert {tuple(sorted(x)) for x in pairs} == want
     few, label2 = J.tree_links(sets, None, 85, 100)
     assert all((label2[a] == label2[b]) == (label[a] == label[b]) for a in range(120) for b in range(120)) and len(few) < len(pairs)
-    i, j = J.candidates(J.Tree(sets), J.Tree(sets[:50]), 85, 100)
+    i, j = J.candidates(*J.trees(sets, sets[:50]), 85, 100)
     assert {(a, b) for a, b in want if a < 50} <= set(zip(j.tolist(), i.tolist(), strict=True))
 
 
