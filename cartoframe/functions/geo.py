@@ -141,6 +141,16 @@ def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(pairs(ring, crosses), F.lit(0), lambda acc, x: acc + x) % 2 == 1
 
 
+def point_in_rings(lon: Column, lat: Column, rings: Column) -> Column:
+    """In an odd number of rings: in a part of a multipolygon and in none of its holes."""
+    return F.size(F.filter(rings, lambda r: point_in_ring(lon, lat, r))) % 2 == 1
+
+
+def parts_area(parts: Column, area=planar_area) -> Column:
+    """Area of a multipolygon: parts are arrays of rings, the outer one first, its holes after it."""
+    return total(F.transform(parts, lambda rings: total(F.transform(rings, lambda ring, i: F.when(i == 0, area(ring)).otherwise(-area(ring))))))
+
+
 def point_segment_m(lon: Column, lat: Column, a: Column, b: Column) -> Column:
     """Distance of a point from a segment in metres, on the plane around the point."""
     kx = F.lit(M_PER_DEGREE) * F.cos(F.radians(lat))

@@ -7,8 +7,10 @@ Cells are sized for the latitude farthest from the equator, wrap at 180 degrees
 and cover the whole circle near the poles, so nothing is lost.  The plan is a
 shuffle on the cell; AQE splits crowded cells.
 
-A join without a cap searches in growing circles: only subjects that have not
-found enough within one radius go on to the next.
+A join without a cap gives each subject a radius by the references around it: the
+width of the smallest cell, of levels that are each RATIO times as wide, that holds
+the subject and enough references.  So a subject in a crowded place meets the few
+around it, one far out meets what lies that far, and each is joined once.
 """
 
 from __future__ import annotations
@@ -63,43 +65,48 @@ def within(subject: DataFrame, reference: DataFrame, d_km: float, max_abs_lat: f
     return out.where(F.col("distance_km") <= d_km).drop("__x", "__y")
 
 
-def _first_radius(extent_km2: float, n_ref: int, k: int) -> float:
-    """A radius in which k of evenly spread references are likely."""
-    return max(0.05, 1.2 * math.sqrt(4 * k * max(extent_km2, 1e-6) / (math.pi * max(1, n_ref))))
+#: Radii in kilometres of the levels of cells, each RATIO times the one before.
+FIRST_KM, RATIO = 0.05, 4.0
+
+
+def _levels() -> list[float]:
+    out = [FIRST_KM]
+    while out[-1] * RATIO < _HALF_WORLD_KM / 2:
+        out.append(out[-1] * RATIO)
+    return [*out, _HALF_WORLD_KM]
+
+
+def _by_density(subject: DataFrame, reference: DataFrame, k: int, key: str) -> DataFrame:
+    """Located subjects with `__level`: of the smallest cell around them that holds k references.  The cell's diagonal is at most the level's radius, so k references are within it."""
+    side = [r / math.sqrt(2) / G.EARTH_KM * 180 / math.pi * 0.999 for r in _levels()]
+    cells = F.array(*[F.struct(F.lit(i).alias("z"), F.lit(s).alias("s")) for i, s in enumerate(side[:-1])])
+    at = lambda df: df.select("*", F.explode(cells).alias("__c")).select("*", F.col("__c.z").alias("__z"), F.floor(F.col("lon") / F.col("__c.s")).cast("long").alias("__x"), F.floor(F.col("lat") / F.col("__c.s")).cast("long").alias("__y")).drop("__c")
+    full = at(reference.select("lon", "lat")).groupBy("__z", "__x", "__y").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).select("__z", "__x", "__y")
+    found = at(subject.select(key, "lon", "lat")).join(full, ["__z", "__x", "__y"]).groupBy(key).agg(F.min("__z").alias("__level"))
+    return subject.join(found, key, "left").withColumn("__level", F.coalesce("__level", F.lit(len(side) - 1)))
 
 
 def k_nearest(subject: DataFrame, reference: DataFrame, k: int, key: str, ref_order: str, max_km: float | None = None, radius: float = G.EARTH_KM) -> DataFrame:
-    """Each subject's k nearest (fewer, if there are no more within max_km): within()'s columns and `rank`.  Ties by `ref_order`."""
+    """Each subject's k nearest (fewer, if there are no more within max_km): within()'s columns and `rank`.  Ties by `ref_order`.  The key names a subject."""
     order = Window.partitionBy(key).orderBy("distance_km", f"ref.{ref_order}")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if max_km is not None:
         return ranked(within(subject, reference, max_km, radius=radius))
     located = reference.where("lon is not null and lat is not null")
-    n, x0, x1, y0, y1 = located.agg(F.count(F.lit(1)), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     todo = subject.where("lon is not null and lat is not null")
+    n = located.count()
     if not n:
         return ranked(within(todo, located, 1.0, 0.0, radius))
+    scratch = Scratch(subject.sparkSession, "nearest")
+    todo = scratch.table(_by_density(todo, located, min(k, n), key))
+    used = sorted(r[0] for r in todo.select("__level").distinct().collect())  # as many as levels at most
     high = _max_abs_lat(todo.select("lat").union(located.select("lat")))
-    width = (x1 - x0) * math.cos(math.radians((y0 + y1) / 2)) * G.KM_PER_DEGREE
-    r = _first_radius(max(1.0, width) * max(1.0, (y1 - y0) * G.KM_PER_DEGREE), n, k)
-    scratch, parts = Scratch(subject.sparkSession, "nearest"), []
-    want = min(k, n)
-    while True:
-        found = ranked(within(todo, located, r, high, radius))
-        if r >= _HALF_WORLD_KM:
-            parts.append(found)
-            break
-        found = scratch.table(found)
-        enough = found.where(F.col("rank") == want).select(key)
-        parts.append(found.join(enough, key, "left_semi"))
-        todo = scratch.table(todo.join(enough, key, "left_anti"))
-        if not todo.limit(1).count():
-            break
-        r *= 4
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    levels, out = _levels(), None
+    for i in used:
+        # the cells are cut on the sphere of the default radius
+        part = within(todo.where(F.col("__level") == i).drop("__level"), located, levels[i] * max(1.0, radius / G.EARTH_KM) * (1 + 1e-9), high, radius)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out) if out is not None else ranked(within(todo.drop("__level"), located, 1.0, 0.0, radius))
 
 
 def nearest(subject: DataFrame, reference: DataFrame, key: str, ref_order: str, max_km: float | None = None, radius: float = G.EARTH_KM) -> DataFrame:

@@ -12,6 +12,8 @@ from cartoframe.runtime import Scratch
 
 #: Edges up to which a network is sent to every task, or solved in one.
 SENT_EDGES = 200_000
+#: Points of a group whose hull is found in one task.
+HULL_POINTS = 100_000
 
 __all__ = ["approx_route", "build_by_nodes", "build_by_coordinates", "component_summary", "connected_components", "convex_hulls", "decision_nodes", "isochrone", "logical_edges", "map_match", "nearest_node", "route_matrix", "shortest_paths", "spans", "trip_estimate"]
 
@@ -223,7 +225,13 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
         ring = half[0] + (half[1] if len(pts) > 1 else [])
         return pd.DataFrame({key: [pdf[key].iloc[0]], "hull": [[{"lon": x, "lat": y} for x, y in [*ring, ring[0]]]]})
 
-    return points.where("lon is not null and lat is not null").select(key, "lon", "lat").groupBy(key).applyInPandas(hull, f"{key} {points.schema[key].dataType.simpleString()}, hull array<struct<lon:double,lat:double>>")
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, hull array<struct<lon:double,lat:double>>"
+    located = points.where("lon is not null and lat is not null").select(key, "lon", "lat")
+    # the hull of a large group is that of the hulls of its parts
+    parts = located.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HULL_POINTS).alias("__parts"))
+    dealt = located.join(parts, key).withColumn("__part", F.pmod(F.xxhash64("lon", "lat"), F.col("__parts")))
+    corners = dealt.groupBy(key, "__part").applyInPandas(hull, schema).select(key, F.explode("hull").alias("p")).select(key, "p.lon", "p.lat")
+    return corners.groupBy(key).applyInPandas(hull, schema)
 
 
 def trip_estimate(stops: DataFrame, key: str, order: str) -> DataFrame:

@@ -19,31 +19,41 @@ from pyspark.sql import functions as F
 from cartoframe.functions import geo as G
 
 
-def _cell_size(areas: DataFrame) -> float:
-    """Mean extent of the areas' boxes: each area then covers a few cells."""
-    box = G.bbox(F.col("coords"))
-    row = areas.select(F.greatest(box["max_lon"] - box["min_lon"], box["max_lat"] - box["min_lat"]).alias("e")).agg(F.avg("e")).first()
-    return float(row[0] or 1.0) or 1.0
-
-
-def matches(points: DataFrame, areas: DataFrame, cell: float | None = None) -> DataFrame:
-    """Points (lon, lat) with `area`, a struct of each area (coords: a closed ring) that they are in."""
-    cell = cell or _cell_size(areas)
-    box = G.bbox(F.col("coords"))
-    span = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.floor(b / cell).cast("long"))
-    celled = areas.where(G.is_closed(F.col("coords"))).select(F.struct(*areas.columns).alias("area"), box.alias("b"))
-    celled = celled.withColumn("__x", F.explode(span(F.col("b.min_lon"), F.col("b.max_lon")))).withColumn("__y", F.explode(span(F.col("b.min_lat"), F.col("b.max_lat"))))
-    placed = points.withColumn("__x", F.floor(F.col("lon") / cell).cast("long")).withColumn("__y", F.floor(F.col("lat") / cell).cast("long"))
-    inside = F.col("lon").between(F.col("b.min_lon"), F.col("b.max_lon")) & F.col("lat").between(F.col("b.min_lat"), F.col("b.max_lat")) & G.point_in_ring(F.col("lon"), F.col("lat"), F.col("area.coords"))
-    return placed.join(celled, ["__x", "__y"]).where(inside).drop("__x", "__y", "b")
-
-
-def spatial_join(points: DataFrame, areas: DataFrame, *, key: str, order: str, how: str = "left", cell: float | None = None) -> DataFrame:
-    """Points with `joined` (the first area by `order`, without its ring) and `joined_count`; `left` keeps unmatched points."""
+#: Width in degrees of the finest cells; each level's are twice as wide.
+FINEST, LEVELS = 1 / 1024, 20
+
+
+def matches(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Points (lon, lat) with `area`, a struct of each area that they are in.
+
+    Areas have coords (a closed ring), or rings: closed rings of which a point is in
+    an odd number, as those of polygons with holes and of multipolygons.  An area is
+    held by the one to four cells of the level whose cells are as wide as its box;
+    points are looked up once for each level that some area has.
+    """
+    many = "rings" in areas.columns
+    whole = F.flatten("rings") if many else F.col("coords")
+    box = G.bbox(whole)
+    usable = areas.where(F.exists("rings", G.is_closed)).withColumn("rings", F.filter("rings", G.is_closed)) if many else areas.where(G.is_closed(F.col("coords")))
+    extent = F.greatest(F.col("b.max_lon") - F.col("b.min_lon"), F.col("b.max_lat") - F.col("b.min_lat"))
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / FINEST)))).cast("int")
+    celled = usable.select(F.struct(*areas.columns).alias("area"), box.alias("b")).withColumn("__z", level)
+    at = lambda v: F.floor(v / (F.pow(F.lit(2.0), "__z") * FINEST)).cast("long")
+    span = lambda a, b: F.explode(F.sequence(at(F.col(a)), at(F.col(b))))
+    used = sorted(r[0] for r in celled.select("__z").distinct().collect() if r[0] is not None)  # LEVELS at most
+    celled = celled.withColumn("__x", span("b.min_lon", "b.max_lon")).withColumn("__y", span("b.min_lat", "b.max_lat"))
+    placed = points.withColumn("__z", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("__x", at(F.col("lon"))).withColumn("__y", at(F.col("lat")))
+    boxed = F.col("lon").between(F.col("b.min_lon"), F.col("b.max_lon")) & F.col("lat").between(F.col("b.min_lat"), F.col("b.max_lat"))
+    shape = G.point_in_rings(F.col("lon"), F.col("lat"), F.col("area.rings")) if many else G.point_in_ring(F.col("lon"), F.col("lat"), F.col("area.coords"))
+    return placed.join(celled, ["__z", "__x", "__y"]).where(boxed & shape).drop("__z", "__x", "__y", "b")
+
+
+def spatial_join(points: DataFrame, areas: DataFrame, *, key: str, order: str, how: str = "left") -> DataFrame:
+    """Points with `joined` (the first area by `order`, without its rings) and `joined_count`; `left` keeps unmatched points.  Lines and areas join by their representative points."""
     if how not in ("left", "inner"):
         raise ValueError(f"how: left or inner, not {how}")
-    attributes = [c for c in areas.columns if c != "coords"]
-    found = matches(points.select(key, "lon", "lat"), areas, cell).groupBy(key).agg(F.min_by(F.struct(*[F.col(f"area.{c}").alias(c) for c in attributes]), f"area.{order}").alias("joined"), F.count(F.lit(1)).alias("joined_count"))
+    attributes = [c for c in areas.columns if c not in ("coords", "rings")]
+    found = matches(points.select(key, "lon", "lat"), areas).groupBy(key).agg(F.min_by(F.struct(*[F.col(f"area.{c}").alias(c) for c in attributes]), f"area.{order}").alias("joined"), F.count(F.lit(1)).alias("joined_count"))
     out = points.join(found, key, how)
     return out.withColumn("joined_count", F.coalesce("joined_count", F.lit(0)))
 

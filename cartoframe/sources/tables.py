@@ -9,7 +9,7 @@ from cartoframe.operators import history
 
 # --- columnar map data -------------------------------------------------------------------------------
 
-#: category -> (theme, type, column with the class, tag that the class becomes)
+# Fixed values of the columnar format: category -> theme, type, column with the class, tag that the class becomes.
 THEMES = {
     "routes": ("transportation", "segment", "subtype", "route"),
     "roads": ("transportation", "segment", "class", "highway"),
@@ -42,7 +42,7 @@ def read_history(spark: SparkSession, path: str, match: Column | None = None, as
 
 # --- relational --------------------------------------------------------------------------------------
 
-#: category -> condition on a jsonb column `tags`
+# Category -> condition on a jsonb column `tags`.
 _CONDITIONS = {
     "routes": "tags ? 'route'",
     "amenities": "tags ? 'amenity' OR tags ? 'shop' OR tags ? 'tourism'",
@@ -117,10 +117,10 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
 
 
 def summary_page(title: str, summary: DataFrame) -> str:
-    """A small HTML table of a summary of few rows."""
+    """An HTML table of a summary, all of its rows: they pass through the driver, one partition at a time."""
     import html
 
-    rows = summary.limit(1000).collect()
+    rows = summary.toLocalIterator()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in summary.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"

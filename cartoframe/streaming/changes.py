@@ -9,7 +9,7 @@ a sequence that was applied before changes nothing, a gap is an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,10 +46,24 @@ def apply_changes(index: DataFrame, changes: DataFrame, matches: Column, key: st
     return kept.unionByName(last.where("__keep").select(*index.columns))
 
 
+#: Sequences in a range that the order is taken in.
+RANGE = 1_000_000
+
+
 def missing_sequences(sequences: DataFrame, column: str = "sequence") -> DataFrame:
-    """Sequences that lack between the first and the last."""
-    span = sequences.agg(F.min(column).alias("a"), F.max(column).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias(column))
-    return span.join(sequences.select(column).distinct(), column, "left_anti")
+    """Sequences that lack between the first and the last: of each two neighbours, what lies between them.
+
+    Neighbours are found within ranges of RANGE sequences, so no task orders them
+    all; the edges of the ranges are a small table.
+    """
+    known = sequences.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("s")).distinct().withColumn("part", F.floor(F.col("s") / RANGE))
+    inner = known.select("s", F.lead("s").over(Window.partitionBy("part").orderBy("s")).alias("next"))
+    edges = known.groupBy("part").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    outer = edges.select(F.col("b").alias("s"), F.lead("a").over(Window.orderBy("part")).alias("next"))
+    gaps = inner.union(outer).where("next > s + 1")
+    # a long gap is many rows: pieces of a range first, then their members
+    pieces = gaps.select(F.explode(F.sequence(F.col("s") + 1, F.col("next") - 1, F.lit(RANGE).cast("long"))).alias("x"), "next")
+    return pieces.select(F.explode(F.sequence("x", F.least(F.col("x") + RANGE - 1, F.col("next") - 1))).alias(column))
 
 
 def cut_by_region(changes: DataFrame, areas: DataFrame) -> DataFrame:
