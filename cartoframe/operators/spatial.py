@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartoframe.functions import geo as G
 
@@ -174,7 +175,7 @@ def decode_polyline6(text: str) -> list[tuple[float, float]]:
 def with_decoded(df: DataFrame, column: str = "polyline") -> DataFrame:
     """`coords` decoded from an encoded column, in Arrow batches."""
     at = df.columns.index(column)
-    schema = df.schema.add("coords", "array<struct<lon:double,lat:double>>")
+    schema = T.StructType([*df.schema.fields, T.StructField("coords", T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
