@@ -1,9 +1,10 @@
-"""Protocol-buffer map extracts as element tables.
+"""Protocol-buffer map extracts as element tables, and back.
 
-A file is cut into its compressed blocks by one task a file, and the blocks are
-decoded in parallel.  Elements are osm_type, id, lon, lat, tags, node_refs,
-members; what does not apply is null.  A file is read whole into memory to be
-cut, so extracts beyond 2 GB are to be clipped first.
+A file is a row of blocks, each announced by a head that names its kind.  The text
+reader cuts files at that name, so an extract of any size is read in splits, on any
+file system, by as many tasks as it has splits: what follows a name is the length
+of a block and the block itself.  Elements are osm_type, id, version, lon, lat,
+tags, node_refs, members; what does not apply is null.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoframe.operators.filters import tag_query
+from cartoframe.sources import files
 
 ELEMENTS = "osm_type string, id long, version int, lon double, lat double, tags map<string,string>, node_refs array<long>, members array<struct<type:string,ref:long,role:string>>"
 
@@ -66,16 +68,33 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def blobs(data: bytes) -> Iterator[bytes]:
-    """The data blocks of a file, still compressed."""
+#: The kind of blocks that hold elements, as it stands in their heads.
+DATA = b"OSMData"
+
+
+def blob(record: bytes) -> bytes | None:
+    """The block of what stands between two names of its kind: the rest of the head (field 2 if any, then 3, the length), the block, the next head's beginning.
+
+    None for the beginning of a file, which is the head of another kind of block.
+    """
     i = 0
-    while i < len(data):
-        (n,) = struct.unpack_from(">I", data, i)
-        head = dict(fields(data[i + 4 : i + 4 + n]))
-        size = head[3]
-        if head[1] == b"OSMData":
-            yield data[i + 4 + n : i + 4 + n + size]
-        i += 4 + n + size
+    while i < len(record):
+        key, at = _varint(record, i)
+        if key == 0x12:
+            n, at = _varint(record, at)
+            i = at + n
+        elif key == 0x18:
+            size, at = _varint(record, at)
+            if at + size > len(record):
+                raise ValueError(f"a block of {size} bytes is cut after {len(record) - at}")
+            return record[at : at + size]
+        elif i == 0 and record[0] == 0 and b"OSMHeader" in record[:64]:
+            return None
+        else:
+            break
+    if not record:
+        return None
+    raise ValueError("not a map extract")
 
 
 def inflate(blob: bytes) -> bytes:
@@ -127,7 +146,7 @@ def elements(block: bytes) -> Iterator[tuple]:
                         own[strings[pairs[at]]] = strings[pairs[at + 1]]
                         at += 2
                     at += 1
-                    yield ("node", node, versions[i] if i < len(versions) else None, *place(lon, lat), own, None, None)
+                    yield ("node", node, (versions[i] or None) if i < len(versions) else None, *place(lon, lat), own, None, None)
             elif k == 3:
                 yield ("way", _signed(f[1]), version(f), None, None, tags(f), _packed(f.get(8, b""), True, True), None)
             elif k == 4:
@@ -136,28 +155,112 @@ def elements(block: bytes) -> Iterator[tuple]:
                 yield ("relation", _signed(f[1]), version(f), None, None, tags(f), None, [{"type": kinds[t], "ref": r, "role": strings[o]} for o, r, t in zip(roles, refs, types, strict=True)])
 
 
-def read_pbf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """All elements of extracts; a file that cannot be read is an error."""
-    names = [f.split(" ")[0] for f in ELEMENTS.split(", ")]
-    text, number = pa.string(), pa.int64()
-    kinds = [text, number, pa.int32(), pa.float64(), pa.float64(), pa.map_(text, text), pa.list_(number), pa.list_(pa.struct([("type", text), ("ref", number), ("role", text)]))]
+_NAMES = [f.split(" ")[0] for f in ELEMENTS.split(", ")]
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.list_(pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())]))]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                for blob in blobs(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
+
+def read_pbf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """All elements of extracts, in splits of spark.sql.files.maxPartitionBytes; a file that cannot be read is an error.  `partitions` deals the blocks of small files out."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0):
-                rows = list(elements(inflate(blob.as_py())))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) if x is not None else None for x in c] if pa.types.is_map(k) else list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    n = partitions or spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(cut, "blob binary").repartition(n).mapInArrow(decode, ELEMENTS)
+            for record in batch.column(0):
+                block = blob(record.as_py())
+                rows = list(elements(inflate(block))) if block is not None else []
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) if x is not None else None for x in c] if pa.types.is_map(k) else list(c), k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
+
+    records = spark.read.option("lineSep", DATA.decode()).text(path).select(F.col("value").cast("binary").alias("record"))
+    return (records.repartition(partitions) if partitions else records).mapInArrow(decode, ELEMENTS)
+
+
+# --- writing -----------------------------------------------------------------------------------------
+
+
+def _number(v: int) -> bytes:
+    out = bytearray()
+    while v > 0x7F:
+        out.append(v & 0x7F | 0x80)
+        v >>= 7
+    out.append(v)
+    return bytes(out)
+
+
+def _field(n: int, value: int | bytes) -> bytes:
+    if isinstance(value, int):
+        return _number(n << 3) + _number(value & (1 << 64) - 1)
+    return _number(n << 3 | 2) + _number(len(value)) + value
+
+
+def _numbers(values, signed: bool = False, delta: bool = False) -> bytes:
+    out, last = [], 0
+    for v in values:
+        step, last = (v - last, v) if delta else (v, last)
+        out.append(_number((step << 1 ^ step >> 63) & (1 << 64) - 1 if signed else step))
+    return b"".join(out)
+
+
+def encode_block(rows: list[tuple]) -> bytes:
+    """A block of elements (rows of ELEMENTS), still without its head."""
+    strings: dict[str, int] = {"": 0}
+    name = lambda s: strings.setdefault(s, len(strings))
+    unit = lambda degrees: round(degrees * 1e7)
+    groups = []
+    nodes = [r for r in rows if r[0] == "node"]
+    if nodes:
+        keys = [v for r in nodes for v in (*(name(x) for kv in sorted((r[5] or {}).items()) for x in kv), 0)]
+        info = _field(5, _field(1, _numbers([max(0, r[2] or 0) for r in nodes]))) if any(r[2] for r in nodes) else b""
+        dense = _field(1, _numbers([r[1] for r in nodes], True, True)) + info + _field(8, _numbers([unit(r[4]) for r in nodes], True, True)) + _field(9, _numbers([unit(r[3]) for r in nodes], True, True)) + _field(10, _numbers(keys))
+        groups.append(_field(2, dense))
+    kinds = ("node", "way", "relation")
+    for number, kind in ((3, "way"), (4, "relation")):
+        own = []
+        for r in rows:
+            if r[0] != kind:
+                continue
+            tags = sorted((r[5] or {}).items())
+            one = _field(1, r[1]) + _field(2, _numbers([name(k) for k, _ in tags])) + _field(3, _numbers([name(v) for _, v in tags]))
+            one += _field(4, _field(1, r[2])) if r[2] else b""
+            if kind == "way":
+                one += _field(8, _numbers(r[6] or [], True, True))
+            else:
+                members = r[7] or []
+                one += _field(8, _numbers([name(m["role"] or "") for m in members])) + _field(9, _numbers([m["ref"] for m in members], True, True)) + _field(10, _numbers([kinds.index(m["type"]) for m in members]))
+            own.append(_field(number, one))
+        if own:
+            groups.append(b"".join(own))
+    table = b"".join(_field(1, s.encode()) for s in strings)
+    return _field(1, table) + b"".join(_field(2, g) for g in groups)
+
+
+def _framed(kind: bytes, content: bytes) -> bytes:
+    packed = _field(2, len(content)) + _field(3, zlib.compress(content))
+    head = _field(1, kind) + _field(3, len(packed))
+    return struct.pack(">I", len(head)) + head + packed
+
+
+def write_pbf(df: DataFrame, path: str, block: int = 8000) -> None:
+    """One extract of the elements, sorted by type and id.  Blocks are made by all tasks and pass through the driver one by one."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in _NAMES]
+            columns[5] = [None if x is None else dict(x) for x in columns[5]]
+            held += zip(*columns, strict=True)
+            while len(held) >= block:
+                yield pa.RecordBatch.from_arrays([pa.array([_framed(DATA, encode_block(held[:block]))], pa.binary())], ["block"])
+                held = held[block:]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_framed(DATA, encode_block(held))], pa.binary())], ["block"])
+
+    rank = F.array_position(F.array(*map(F.lit, ("node", "way", "relation"))), F.col("osm_type"))
+    blocks = df.select(*_NAMES).orderBy(rank, "id").mapInArrow(encode, "block binary")
+    with files.create(df.sparkSession, path) as out:
+        out.write(bytearray(_framed(b"OSMHeader", _field(4, b"OsmSchema-V0.6") + _field(4, b"DenseNodes"))))
+        for row in blocks.toLocalIterator():
+            out.write(row.block)
 
 
 # What belongs to each category, as terms of element types, key and values.

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartoframe.functions import classify as C
+from cartoframe.operators import filters as T
 from cartoframe.operators import history
+from cartoframe.runtime import Scratch
+from cartoframe.sources import files
 
 # --- columnar map data -------------------------------------------------------------------------------
 
@@ -22,13 +26,15 @@ THEMES = {
 }
 
 
-def read_themed(spark: SparkSession, root: str, category: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """id, tags (class, name), bbox of a category under root/theme=/type=; the box filter reaches the scan.  Missing data is an error, never an empty layer."""
+def read_themed(spark: SparkSession, root: str, category: str, bbox: tuple[float, float, float, float] | None = None, classes: tuple[str, ...] = ()) -> DataFrame:
+    """id, tags (class, name), lon, lat of a category under root/theme=/type=; the filters of box and classes reach the scan.  Missing data is an error, never an empty layer."""
     theme, kind, cls, tag = THEMES[category]
     df = spark.read.parquet(f"{root}/theme={theme}/type={kind}")
     if bbox is not None:
         x0, y0, x1, y1 = bbox
         df = df.where((F.col("bbox.xmin") <= x1) & (F.col("bbox.xmax") >= x0) & (F.col("bbox.ymin") <= y1) & (F.col("bbox.ymax") >= y0))
+    if classes:
+        df = df.where(F.col(cls).isin(*classes))
     entries = [F.struct(F.lit(tag).alias("k"), F.col(cls).cast("string").alias("v")), F.struct(F.lit("name").alias("k"), F.col("names.primary").cast("string").alias("v"))]
     return df.select("id", F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull())).alias("tags"), ((F.col("bbox.xmin") + F.col("bbox.xmax")) / 2).alias("lon"), ((F.col("bbox.ymin") + F.col("bbox.ymax")) / 2).alias("lat"))
 
@@ -55,17 +61,51 @@ _CONDITIONS = {
 }
 
 
-def relational_query(category: str, region: str, table: str = "osm_nodes") -> str:
-    """The pushed-down query of a category in a region."""
-    if not table.replace("_", "").isalnum():
-        raise ValueError(f"not a table name: {table}")
-    quoted = region.replace("'", "''")
-    return f"SELECT osm_id, tags::text AS tags, ST_X(ST_Centroid(geom)) AS lon, ST_Y(ST_Centroid(geom)) AS lat FROM {table} WHERE region = '{quoted}' AND ({_CONDITIONS[category]})"
+#: category -> tables of the schema that hold it.
+_TABLE = {"roads": "osm_ways", "routes": "osm_ways", "parks": "osm_ways", "buildings": "osm_ways", "boundaries": "osm_ways"}
+_PARK_KINDS = {"national": "tags->>'boundary' = 'national_park' OR tags->>'protect_class' = '2'", "state": "tags->>'protect_class' = '5'", "nature_reserve": "tags->>'leisure' = 'nature_reserve'"}
+
+
+def _quoted(*values: object) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
 
-def read_relational(spark: SparkSession, url: str, category: str, region: str, table: str = "osm_nodes", partitions: int = 8, bounds: tuple[int, int] = (0, 1 << 40), **options: str) -> DataFrame:
-    """The category over JDBC, in parallel ranges of ids."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({relational_query(category, region, table)}) t", partitionColumn="osm_id", lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions), **options)
+def class_condition(category: str, kind: str) -> str | None:
+    """What a class of a category adds to its condition; None for `all`.  An unknown class is an error."""
+    if kind in ("all", "*"):
+        return None
+    if category == "routes":
+        return f"tags->>'route' IN ({_quoted(*T.ROUTE_MODES[kind])})"
+    if category == "amenities":
+        return f"tags->>'amenity' IN ({_quoted(*C.AMENITY_CATEGORIES[kind])})"
+    if category == "parks":
+        return _PARK_KINDS[kind]
+    key = {"roads": "highway", "buildings": "building", "population": "place"}.get(category)
+    if key is None and category != "boundaries":
+        raise KeyError(f"{category} has no classes")
+    if category == "boundaries":
+        return f"tags->>'admin_level' = {_quoted(T.ADMIN_LEVELS.get(kind, kind))}"
+    return f"tags->>'{key}' IN ({_quoted(*kind.split(','))})"
+
+
+def relational_query(category: str, region: str, table: str | None = None, kind: str = "all", protect: tuple[str, ...] = (), min_population: int = 0) -> str:
+    """The pushed-down query of a category, or of one class of it, in a region."""
+    table = table or _TABLE.get(category, "osm_nodes")
+    if not table.replace("_", "").isalnum():
+        raise ValueError(f"not a table name: {table}")
+    conditions = [f"region = {_quoted(region)}", f"({_CONDITIONS[category]})"]
+    if (own := class_condition(category, kind)) is not None:
+        conditions.append(f"({own})")
+    if protect:
+        conditions.append(f"tags->>'protect_class' IN ({_quoted(*protect)})")
+    if min_population > 0:
+        conditions.append(f"CAST(NULLIF(regexp_replace(tags->>'population', '[^0-9]', '', 'g'), '') AS bigint) >= {int(min_population)}")
+    return f"SELECT osm_id, tags::text AS tags, ST_X(ST_Centroid(geom)) AS lon, ST_Y(ST_Centroid(geom)) AS lat FROM {table} WHERE {' AND '.join(conditions)}"
+
+
+def read_relational(spark: SparkSession, url: str, category: str, region: str, table: str | None = None, partitions: int = 8, bounds: tuple[int, int] = (0, 1 << 40), kind: str = "all", **options: str) -> DataFrame:
+    """The category (or a class of it) over JDBC, in parallel ranges of ids."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({relational_query(category, region, table, kind)}) t", partitionColumn="osm_id", lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions), **options)
     return reader.load().withColumn("tags", F.from_json("tags", "map<string,string>"))
 
 
@@ -75,12 +115,15 @@ FEED_FILES = ("agency", "stops", "routes", "trips", "stop_times", "shapes", "cal
 
 
 def read_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The files of a feed that are there, all columns strings."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    """The files of a feed that are there, all columns strings.  A path that ends in .zip is unpacked to the shared folder first; its files may stand in a folder of the archive."""
+    if path.lower().endswith(".zip"):
+        folder = Scratch(spark, "feed").root
+        files.unzip(spark, path, folder, tuple(f"{n}.txt" for n in FEED_FILES))
+        path = folder
     out = {}
     for name in FEED_FILES:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.txt")
-        if p.getFileSystem(conf).exists(p):
+        fs, at = files.place(spark, f"{path}/{name}.txt")
+        if fs.exists(at):
             out[name] = spark.read.option("header", True).option("inferSchema", False).csv(f"{path}/{name}.txt")
     for need in ("stops", "routes", "trips", "stop_times"):
         if need not in out:
