@@ -49,7 +49,7 @@ FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) m ON m.id = d.doc_id""",
     "op2_benchmark_decontamination": rf"""
 WITH b AS (
-  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
 ), bw AS (
   SELECT DISTINCT item_id, least(len(ws), 10) AS l, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), lambda i: array_to_string(ws[i : i + least(len(ws), 10) - 1], ' '))) AS g
   FROM b WHERE len(ws) > 0
@@ -60,7 +60,7 @@ WITH b AS (
 ), dw AS (SELECT doc_id, l, i, array_to_string(ws[i : i + l - 1], ' ') AS g FROM p
 ), h AS (SELECT doc_id, i, dw.l, item_id FROM dw JOIN bw ON bw.g = dw.g AND bw.l = dw.l
 ), c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS k FROM h) GROUP BY doc_id
-), t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+), t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
@@ -110,7 +110,7 @@ FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) m ON m.id = d.doc_id""",
     "op2_benchmark_decontamination": rf"""
 WITH b AS (
-  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
 ), bw AS (
   SELECT DISTINCT item_id, least(len(ws), 10) AS l, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), lambda i: array_to_string(ws[i : i + least(len(ws), 10) - 1], ' '))) AS g
   FROM b WHERE len(ws) > 0
@@ -121,7 +121,7 @@ WITH b AS (
 ), dw AS (SELECT doc_id, l, i, array_to_string(ws[i : i + l - 1], ' ') AS g FROM p
 ), h AS (SELECT doc_id, i, dw.l, item_id FROM dw JOIN bw ON bw.g = dw.g AND bw.l = dw.l
 ), c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS k FROM h) GROUP BY doc_id
-), t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+), t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",

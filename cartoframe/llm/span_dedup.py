@@ -16,12 +16,16 @@ Occurrences travel as packed arrays.  Of the occurrences of one run that a task
 sees, only the first can be the global first, so only it goes to the join: a
 passage in a third of all documents costs one entry a task there.
 
+A run has to have some words to be a passage: short sentences that follow each other
+("Yes. No.") repeat in texts that have nothing to do with each other.
+
 Defined cases: null texts stay null.  A text of fewer sentences than `sentences`
 or fewer words has no run and stays as it is, as does every text in which nothing
-is removed, byte for byte.  Rows that share doc_id and text are one document:
-they do not repeat each other.  Rows without doc_id come after all others, in
-order of their text's hash.  Extra columns stay; result columns replace columns
-of the same name.
+is removed, byte for byte; long texts are taken whole.  Rows that share doc_id and
+text are one document: they do not repeat each other.  Rows without doc_id come
+after all others, in order of their text's hash; a text's marks go to the rows of
+that id and text alone.  Extra columns stay; result columns replace columns of the
+same name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,16 +66,9 @@ class Sentences:
         self.doc = words.doc[first]
         self.start = words.start[first]
         self.bounds = np.searchsorted(self.doc, np.arange(len(words.offsets)))
-        powers, inverse = tk._table(m + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(m + 1, np.uint64)
-            np.cumsum(words.hash * powers[:m], out=sums[1:])
-            last = first + self.count
-            self.hash = tk.mix((sums[last] - sums[first]) * inverse[first] + self.count.astype(np.uint64))
-        # fingerprint of each text's words
+        last = first + self.count
         with np.errstate(over="ignore"):
-            b = words.bounds
-            self.text = tk.mix((sums[b[1:]] - sums[b[:-1]]) * inverse[np.minimum(b[:-1], m)] + np.diff(b).astype(np.uint64)).view(np.int64)
+            self.hash = tk.mix(tk.placed_sums(words.hash, first, last) + self.count.astype(np.uint64))
 
     def runs(self, sentences: int, words: int, tails: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first sentence, one past the last, hash) of every run; `tails`: also of the shortest that end with each sentence."""
@@ -89,11 +86,8 @@ class Sentences:
             first, last = np.concatenate([first[ok], begin[new]]), np.concatenate([last[ok], past[new]])
         else:
             first, last = first[ok], last[ok]
-        powers, inverse = tk._table(k + 1)
         with np.errstate(over="ignore"):
-            sums = np.zeros(k + 1, np.uint64)
-            np.cumsum(self.hash * powers[:k], out=sums[1:])
-            return first, last, tk.mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+            return first, last, tk.mix(tk.placed_sums(self.hash, first, last) + (last - first).astype(np.uint64))
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -101,7 +95,7 @@ def _blob(*columns: np.ndarray) -> bytes:
 
 
 def _repeats(docs: DataFrame, sentences: int, words: int, tails: bool) -> DataFrame:
-    """id, text hash, places (packed numbers, first sentence << 32 | one past the last): the non-first occurrences."""
+    """id, text_hash, places (packed numbers, first sentence << 32 | one past the last): the non-first occurrences.  docs: id, text, text_hash."""
     places = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +113,7 @@ def _repeats(docs: DataFrame, sentences: int, words: int, tails: bool) -> DataFr
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             # a non-first occurrence is settled: it only has to reach its document
-            target = np.where(first, key.view(np.uint64) % np.uint64(places), tk.mix(doc.view(np.uint64)) % np.uint64(places)).astype(np.int64)
+            target = np.where(first, key.view(np.uint64) % np.uint64(places), tk.mix((doc ^ text).view(np.uint64)) % np.uint64(places)).astype(np.int64)
             order = np.lexsort((first, target))
             target, first = target[order], first[order]
             key, doc, text, place = (c[order] for c in (key, doc, text, place))
@@ -131,14 +125,14 @@ def _repeats(docs: DataFrame, sentences: int, words: int, tails: bool) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["target", "firsts", "settled"])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            ids, texts = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(2).to_numpy()
             for i, j, w in tk.runs(batch.column(1), tk.ALNUM_WORDS):
                 s = Sentences(w)
                 first, last, key = s.runs(sentences, words, tails)
                 if not len(first):
                     continue
                 d = s.doc[first]
-                held.append(np.stack([key.view(np.int64), ids[i:j][d], s.text[d], (first - s.bounds[d]) << 32 | (last - s.bounds[d])]))
+                held.append(np.stack([key.view(np.int64), ids[i:j][d], texts[i:j][d], (first - s.bounds[d]) << 32 | (last - s.bounds[d])]))
                 size += len(first)
                 if size >= 1_000_000:
                     yield flush()
@@ -170,22 +164,23 @@ def _repeats(docs: DataFrame, sentences: int, words: int, tails: bool) -> DataFr
             ends = np.append(cut[1:], hit.shape[1])
             for k in range(0, len(cut), 20_000):
                 c, e = cut[k : k + 20_000], ends[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(hit[0, c]), pa.array(hit[1, c]), pa.array([hit[2, x:y].tobytes() for x, y in zip(c, e, strict=True)], pa.binary())], ["id", "fingerprint", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(hit[0, c]), pa.array(hit[1, c]), pa.array([hit[2, x:y].tobytes() for x, y in zip(c, e, strict=True)], pa.binary())], ["id", "text_hash", "places"])
 
-    return docs.mapInArrow(scatter, "target int, firsts binary, settled binary").repartition(places, "target").mapInArrow(gather, "id long, fingerprint long, places binary")
+    return docs.mapInArrow(scatter, "target int, firsts binary, settled binary").repartition(places, "target").mapInArrow(gather, "id long, text_hash long, places binary")
 
 
 def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
     """`docs` with repeated spans (`tails`: whole to their last sentence) cut from the text, and n_sentences, n_removed, removed (byte spans of the old text)."""
-    base = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed", "__id", "__at")]
+    base = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed", "__id", "__hash", "__at")]
     kinds = docs.select(*base).schema
     at = base.index(text_col)
     if not isinstance(kinds[text_col].dataType, T.StringType):
         raise TypeError(f"{text_col} is not a string column")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = _repeats(slim, sentences, words, tails).groupBy("id").agg(F.collect_list(F.struct("fingerprint", "places")).alias("__at")).withColumnRenamed("id", "__id")
-    own = docs.select(*base).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    joined = own.join(marks, "__id", "left").select(*base, "__at")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash.alias("h"))
+    marks = _repeats(slim, sentences, words, tails).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("places").alias("__at"))
+    own = docs.select(*base).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__hash", text_hash)
+    joined = own.join(marks, ["__id", "__hash"], "left").select(*base, "__at")
     schema = T.StructType([*kinds.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +195,8 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = 2, words: int = 10,
                 for r, marked in enumerate(own.column(len(base)).to_pylist()):
                     drop = np.zeros(int(counts[r]), bool)
                     for m in marked or ():
-                        if m["fingerprint"] == s.text[r]:
-                            for p in np.frombuffer(m["places"], np.int64).tolist():
-                                drop[p >> 32 : p & 0xFFFFFFFF] = True
+                        for p in np.frombuffer(m, np.int64).tolist():
+                            drop[p >> 32 : p & 0xFFFFFFFF] = True
                     own_spans = []
                     if drop.any():
                         # a sentence reaches from its first word to the next sentence's, the text's first from its very start

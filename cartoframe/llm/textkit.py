@@ -1,8 +1,9 @@
 """Vectorised word splitting and hashing of Arrow string batches.
 
-All texts of a batch are handled as one byte buffer.  A word's hash is the
-difference of two prefix sums of a polynomial modulo 2**64, so no Python object
-is made per word; the cost is a few nanoseconds per byte.
+All texts of a batch are handled as one byte buffer.  A word's hash is a sum over its
+bytes of numbers that depend on the byte and its place in the word without any
+structure (a polynomial modulo 2**64 would collide on Thue-Morse words, whatever its
+base), so no Python object is made per word; the cost is a few nanoseconds per byte.
 """
 
 from __future__ import annotations
@@ -62,6 +63,29 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+#: Numbers of bytes at the first places of a word; later places are mixed as they come.
+_PLACES = 64
+
+
+def _byte_numbers() -> np.ndarray:
+    return mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_NUMBERS = _byte_numbers()
+
+
+def placed_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each run start:end of 64-bit values, a sum of mixed values that depends on their places in the run."""
+    size = end - start
+    at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else start, size) + np.arange(int(size.sum()))
+    place = (at - np.repeat(start, size)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(mix(values[at] + (place + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)), out=sums[1:])
+        stop = np.cumsum(size)
+        return sums[stop] - sums[stop - size]
+
+
 class Words:
     """The words of a run of texts: `start` and `end` are byte offsets in `data`, `doc` the text's number, `hash` a 64-bit hash."""
 
@@ -85,11 +109,20 @@ class Words:
         self.start, self.end = start, end
         self.doc = np.searchsorted(offsets, start, side="right") - 1
         self.bounds = np.searchsorted(start, offsets)  # words of text i: bounds[i]..bounds[i + 1]
-        powers, inverse = _table(n + 1)
+        size = end - start
+        first = np.zeros(n, np.int64)
+        first[start[1:]] = np.diff(start)
+        if len(start):
+            first[start[0]] = start[0]
+        place = np.arange(n) - np.cumsum(first)  # in a word, the place from its beginning
         with np.errstate(over="ignore"):
+            numbers = _NUMBERS[(np.minimum(place, _PLACES - 1) << 8 | data) if len(start) else np.zeros(n, np.int64)]
+            for i in np.flatnonzero(size > _PLACES):
+                far = np.arange(start[i] + _PLACES - 1, end[i])
+                numbers[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | data[far]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7))
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-            self.hash = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+            np.cumsum(numbers, out=sums[1:])
+            self.hash = mix(sums[end] - sums[start] + size.astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

@@ -18,7 +18,9 @@ test tables.
 Only DataFrame operations.  Defined cases: a null url, or one without `://`, has
 an empty host and path and fits no rule.  A host without seeds or links has
 neither trust nor distrust and is allowed.  Rows are kept as they come, repeated
-ones too.  Null html has no links.
+ones too, and each of them counts as a page.  Null html has no links; long urls and
+html are read whole.  An empty table gives an empty result.  Extra columns stay;
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -117,18 +119,18 @@ def sql(rounds: int = ROUNDS) -> str:
     length = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
     fits = lambda rule: f"(host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}')"
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits(rule)} THEN '{pick(v, rule)}'" for v, rule in length) + " END"
-    steps = []
+    steps = [f"r0 AS MATERIALIZED (SELECT kind, host, CAST(r * {100 - DAMPING} // 100 AS HUGEINT) AS r FROM start)"]
     for k in range(rounds):
-        prev = "start" if k == 0 else f"r{k}"
+        prev = f"r{k}"
         steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT kind, host, CAST(sum(r) AS HUGEINT) AS r FROM (
     SELECT kind, host, r * {100 - DAMPING} // 100 AS r FROM start
     UNION ALL SELECT e.kind, e.b, p.r * e.n * {DAMPING} // (e.total * 100) FROM {prev} p JOIN edges e ON e.kind = p.kind AND e.a = p.host) GROUP BY kind, host)""")
     return rf"""
-WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+WITH u AS (SELECT row_number() OVER () AS r, page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), j AS MATERIALIZED (SELECT *, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS said FROM u
 ), seeds AS (SELECT host, CAST(count(*) FILTER (said = 'allow') AS HUGEINT) AS good, CAST(count(*) FILTER (said = 'block') AS HUGEINT) AS bad FROM j WHERE host <> '' GROUP BY host
-), found AS (SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM j
+), found AS (SELECT r, host AS src, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1))), '{_UPPER}', '{_LOWER}') AS dst FROM j
 ), links AS (SELECT src, dst, CAST(sum(n) AS HUGEINT) AS n FROM (
     SELECT src, dst, count(*) AS n FROM found WHERE src <> dst AND src <> '' GROUP BY src, dst
     UNION ALL SELECT host, regexp_replace(host, '^[^.]*\.', ''), 1 FROM seeds WHERE host <> regexp_replace(host, '^[^.]*\.', '')) WHERE dst IN (SELECT host FROM seeds) GROUP BY src, dst

@@ -225,29 +225,29 @@ def brute_hits(text, items, n):
     words, hit, ids = alnum_words(text), set(), set()
     for item, t in items:
         w = alnum_words(t)
-        if not w or item is None:
+        if not w:
             continue
         k = min(n, len(w))
         windows = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)}
         for a in range(len(words) - k + 1):
             if tuple(words[a : a + k]) in windows:
                 hit.update(range(a, a + k))
-                ids.add(str(item))
+                ids |= {str(item)} - {"None"}
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("slice_chars", [D.SLICE_CHARS, 300])
-def test_decontamination_matches_brute_force(spark, monkeypatch, slice_chars):
-    monkeypatch.setattr(D, "SLICE_CHARS", slice_chars)
+@pytest.mark.parametrize("slice_bytes", [D.SLICE_BYTES, 300])
+def test_decontamination_matches_brute_force(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(D, "SLICE_BYTES", slice_bytes)
     rng = random.Random(8)
-    items = [(i, prose(rng, rng.choice([1, 4, 10, 14, 25]), 5000)) for i in range(25)] + [(7, "again one more"), (90, None), (91, " .. "), (None, prose(rng, 12)), (92, "Same Words here"), (93, "same words, HERE")]
+    items = [(i, prose(rng, rng.choice([1, 4, 10, 14, 25]), 5000)) for i in range(25)] + [(7, "again one more"), (90, None), (91, " .. "), (None, prose(rng, 12)), (92, "Same Words here"), (93, "same words, HERE"), (93, "same words, HERE"), (94, "a b " * 40)]
     rows = []
     for i in range(80):
         t = prose(rng, rng.randrange(60), 5000)
         if rng.random() < 0.5:
             t += " " + (rng.choice(items)[1] or "").upper() + ", " + prose(rng, 5)
         rows.append((i, t, None, None, None))
-    rows += [(500, None, None, None, None), (501, "", None, None, None), (None, items[3][1], None, None, None), (502, "same-words;here", None, None, None)]
+    rows += [(500, None, None, None, None), (501, "", None, None, None), (None, items[3][1], None, None, None), (502, "same-words;here", None, None, None), (502, "same-words;here", None, None, None), (503, "b a " * 30 + prose(rng, 30000), None, None, None)]
     docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     got = D.find_contamination(docs, table, 10).collect()
     want = sorted((str(i), *map(str, brute_hits(t, items, 10))) for i, t, *_ in rows)
