@@ -318,9 +318,16 @@ def _(spark, d):
     return ranking.seeded_sample(layer(spark, d, "geo_points"), 50, "feature_id").select("feature_id")
 
 
-@query("top_cities")
+_SPACED = ctes("geo_places").replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT admin_id, feature_id, name, lon, lat, CAST(population AS BIGINT) AS people, row_number() OVER (PARTITION BY admin_id ORDER BY CAST(population AS BIGINT) DESC, feature_id) AS k FROM geo_places WHERE place IN ('city', 'town') AND regexp_matches(population, '^[0-9]+$') AND CAST(population AS BIGINT) >= 1000),
+rec AS (SELECT DISTINCT admin_id, 0::BIGINT AS k, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM o UNION ALL
+SELECT o.admin_id, o.k, CASE WHEN len(list_filter(kept, lambda q: {hav('q.x', 'q.y', 'o.lon', 'o.lat')} <= 40)) = 0 THEN list_append(kept, {{'id': feature_id, 'x': lon, 'y': lat}}) ELSE kept END FROM rec JOIN o ON o.admin_id = rec.admin_id AND o.k = rec.k + 1),
+last AS (SELECT admin_id, arg_max(kept, k) AS kept FROM rec GROUP BY admin_id), ids AS (SELECT admin_id, unnest(list_transform(kept[:10], lambda q: q.id)) AS feature_id FROM last)
+SELECT o.admin_id, o.feature_id, o.name, o.lon, o.lat, o.people AS population_value FROM o JOIN ids USING (admin_id, feature_id)"""
+
+
+@query("top_cities", _SPACED)
 def _(spark, d):
-    return ranking.top_cities(_places(spark, d), 10, 1000, "feature_id", "admin_id")
+    return ranking.top_cities(_places(spark, d), 10, 1000, "feature_id", "admin_id", 40.0)
 
 
 @query("equivalent_radius", ctes("geo_admin") + """, a AS (SELECT *, 0.5*abs(2*((max_lon-min_lon)*(max_lat-min_lat))) AS area, 111320e0*cos(radians((min_lat+max_lat)/2)) AS mx FROM geo_admin)

@@ -379,10 +379,19 @@ def _(spark, d):
     return network.decision_nodes(layer(spark, d, "geo_ways"), attributes)
 
 
-@query("logical_edges")
+#: Where every decision node has three uses or more, as here, no two pieces are chained.
+_PIECES = ctes("geo_ways", "geo_nodes", "geo_way_tags") + f""", e AS (SELECT min_by(node_id, pos) AS node_id FROM geo_ways GROUP BY way_id UNION ALL SELECT max_by(node_id, pos) FROM geo_ways GROUP BY way_id),
+dn AS (SELECT node_id FROM e UNION SELECT node_id FROM geo_ways JOIN geo_way_tags USING (way_id) GROUP BY node_id HAVING count(*) >= 3 OR count(DISTINCT highway) > 1 OR count(DISTINCT coalesce(ref, '')) > 1),
+pl AS (SELECT way_id, pos, node_id, lon, lat, lag(lon) OVER w AS x0, lag(lat) OVER w AS y0, node_id IN (SELECT node_id FROM dn) AS stop FROM geo_ways JOIN geo_nodes USING (node_id) WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+al AS (SELECT *, sum(coalesce({hav('x0', 'y0', 'lon', 'lat', 6371000.0)}, 0)) OVER (PARTITION BY way_id ORDER BY pos) AS along FROM pl),
+sp AS (SELECT way_id, node_id AS a, lead(node_id) OVER w AS b, lead(along) OVER w - along AS m FROM al WHERE stop WINDOW w AS (PARTITION BY way_id ORDER BY pos))
+SELECT least(a, b) AS u, greatest(a, b) AS v, round(m, 3) AS length_m, highway AS cls, ref, 1 AS pieces FROM sp JOIN geo_way_tags USING (way_id) WHERE b IS NOT NULL AND a <> b"""
+
+
+@query("logical_edges", _PIECES)
 def _(spark, d):
     attributes = layer(spark, d, "geo_way_tags").select("way_id", F.col("highway").alias("cls"), "ref")
-    return network.logical_edges(layer(spark, d, "geo_ways"), layer(spark, d, "geo_nodes"), attributes).withColumn("length_m", F.round("length_m", 3))
+    return network.logical_edges(layer(spark, d, "geo_ways"), layer(spark, d, "geo_nodes"), attributes).withColumn("length_m", F.round("length_m", 3)).drop("edge_id")
 
 
 # --- importance ------------------------------------------------------------------------------------
@@ -413,7 +422,15 @@ def _(spark, d):
     return importance.normalised_votes(v).withColumn("sb", F.round("sb", 6)).select("edge_id", "zoom", "votes", "sb")
 
 
-@query("cell_budgets")
+_BUDGETS = ctes("geo_ways", "geo_nodes") + f""", pt AS (SELECT way_id, pos, lon, lat, lag(lon) OVER w AS x0, lag(lat) OVER w AS y0 FROM geo_ways JOIN geo_nodes USING (node_id) WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+sg AS (SELECT *, {hav('x0', 'y0', 'lon', 'lat')} AS km FROM pt WHERE x0 IS NOT NULL), ln AS (SELECT way_id, sum(km) AS km, max_by(lon, pos) AS lx, max_by(lat, pos) AS ly FROM sg GROUP BY way_id),
+st AS (SELECT *, greatest(1, ceil(km/20)) AS n FROM sg), sm AS (SELECT way_id, x0 + (lon-x0)*k/n AS x, y0 + (lat-y0)*k/n AS y FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS k FROM st) UNION ALL SELECT way_id, lx, ly FROM ln),
+c AS (SELECT DISTINCT way_id, CAST(floor(x/(100/111.19e0)) AS BIGINT) AS cell_x, CAST(floor(y/(100/111.19e0)) AS BIGINT) AS cell_y FROM sm), q AS (SELECT way_id, count(*) AS n FROM c GROUP BY way_id),
+r AS (SELECT cell_x, cell_y, sum(km/n) AS road_km FROM c JOIN q USING (way_id) JOIN ln USING (way_id) GROUP BY 1, 2), f AS (SELECT *, CASE WHEN road_km/10000 < 0.2 THEN 1.3e0 WHEN road_km/10000 < 1 THEN 1e0 WHEN road_km/10000 < 5 THEN 0.6e0 ELSE 0.4e0 END AS density_factor FROM r)
+SELECT cell_x, cell_y, round(road_km, 4) AS road_km, density_factor, zoom, 500e0*density_factor AS budget_km FROM f, (SELECT CAST(unnest(range(2, 8)) AS INTEGER) AS zoom)"""
+
+
+@query("cell_budgets", _BUDGETS)
 def _(spark, d):
     """Total length over all cells of a zoom is the length of all edges."""
     lines = way_lines(spark, d).select(F.col("way_id").alias("edge_id"), "coords", (G.line_length(F.col("coords")) * 1000).alias("length_m"))

@@ -126,7 +126,13 @@ def _(spark, d):
     return network.trip_estimate(layer(spark, d, "geo_points"), "segment", "feature_id").withColumn("distance_km", F.round("distance_km", 4))
 
 
-@query("convex_hulls")
+_HULL = ctes("geo_points") + """, p AS (SELECT DISTINCT segment, lon AS x, lat AS y FROM geo_points),
+e AS (SELECT a.segment, a.x AS ax, a.y AS ay, b.x AS qx, b.y AS qy FROM p a JOIN p b ON a.segment = b.segment AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.segment = a.segment AND ((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) < 0 OR ((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) = 0 AND (c.x-a.x)*(c.x-b.x) + (c.y-a.y)*(c.y-b.y) > 0))))
+SELECT segment, round(sum(ax*qy - qx*ay)/2, 6) AS area FROM e GROUP BY segment"""
+
+
+@query("convex_hulls", _HULL)
 def _(spark, d):
     return network.convex_hulls(layer(spark, d, "geo_points"), "segment").select("segment", F.round(G.planar_area(F.col("hull")), 6).alias("area"))
 
@@ -136,10 +142,20 @@ def _(spark, d):
     return spatial.simplify(way_lines(spark, d), 50_000.0).select("way_id", F.size("coords").alias("n"))
 
 
-@query("network_by_coordinates")
+#: Every part as a street, that meets those around it.
+_STREETS = "SELECT p_partkey AS line_id, -100e0 + (p_partkey*6700417 % 10000)/1e3 AS ax, 35e0 + (p_partkey*2147483 % 7000)/1e3 AS ay, (p_size % 7 - 3)*0.03e0 + 0.011e0 AS dx, (p_size % 11 - 5)*0.02e0 + 0.007e0 AS dy FROM part"
+_CROSSED = f"""WITH l AS ({_STREETS}), c AS (SELECT a.line_id, ((b.ax-a.ax)*b.dy - (b.ay-a.ay)*b.dx)/(a.dx*b.dy - a.dy*b.dx) AS t, ((b.ax-a.ax)*a.dy - (b.ay-a.ay)*a.dx)/(a.dx*b.dy - a.dy*b.dx) AS w FROM l a JOIN l b ON a.line_id <> b.line_id AND a.dx*b.dy <> a.dy*b.dx AND abs(a.ax-b.ax) < 0.5 AND abs(a.ay-b.ay) < 0.5),
+q AS (SELECT DISTINCT line_id, t FROM (SELECT line_id, t FROM c WHERE t > 0 AND t < 1 AND w >= 0 AND w <= 1 UNION ALL SELECT line_id, 0e0 FROM l UNION ALL SELECT line_id, 1e0 FROM l)),
+z AS (SELECT line_id, ax + dx*t AS x, ay + dy*t AS y, lead(ax + dx*t) OVER o AS x1, lead(ay + dy*t) OVER o AS y1 FROM q JOIN l USING (line_id) WINDOW o AS (PARTITION BY line_id ORDER BY t))
+SELECT round({hav('x', 'y', 'x1', 'y1', 6371008.8)}, 2) AS length_m FROM z WHERE x1 IS NOT NULL"""
+
+
+@query("network_by_coordinates", _CROSSED)
 def _(spark, d):
-    lines = way_lines(spark, d).select(F.col("way_id").alias("line_id"), "coords")
-    return network.build_by_coordinates(lines, 10.0, 0.5)[0].withColumn("length_m", F.round("length_m", 3))
+    p = spark.sql(_STREETS.replace("FROM part", "FROM {t}"), t=spark.read.parquet(f"{d}/part.parquet"))
+    at = lambda x, y: F.struct(F.expr(x).alias("lon"), F.expr(y).alias("lat"))
+    lines = p.select("line_id", F.array(at("ax", "ay"), at("ax + dx", "ay + dy")).alias("coords"))
+    return network.build_by_coordinates(lines, 0.001, 0.05)[0].select(F.round("length_m", 2).alias("length_m"))
 
 
 @query("snap_to_network", ctes("geo_points", "geo_nodes") + f", p AS (SELECT feature_id, node_id, {hav('s.lon', 's.lat', 'n.lon', 'n.lat')} AS km FROM geo_points s, geo_nodes n), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY km, node_id) AS rn FROM p) SELECT feature_id, node_id, round(km, 6) AS gap_km FROM r WHERE rn = 1")

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from cartoframe.plans import queries_core, queries_more, queries_roads, queries_sources  # noqa: F401
+    from cartoframe.plans import queries_core, queries_more, queries_roads, queries_sources, queries_wide  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
