@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoframe.operators import aggregate as A
-from cartoframe.operators import catalog, grid, network, quality, ranking, transit, ways
+from cartoframe.operators import catalog, extracts, grid, importance, network, quality, ranking, transit, ways
 from cartoframe.operators import distance as D
 from cartoframe.operators import filters as T
+from cartoframe.runtime import Scratch
+from cartoframe.sources import diffs, handles, pages, pbf
 
 
 def amenity_heatmap(layer: DataFrame, spec: str, cell_km: float = 10.0) -> DataFrame:
@@ -109,6 +111,76 @@ def regional_analysis(layer: DataFrame, region: str) -> DataFrame:
     return T.amenities(layer).groupBy(region, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def route_map(layer: DataFrame, mode: str, folder: str, network_level: str = "*", title: str | None = None) -> str:
+    """The routes of a mode as a map; returns its page."""
+    return pages.render_map({mode: T.routes_by_type(layer, mode, network_level)}, folder, title or f"{mode.capitalize()} routes")
+
+
+def national_cycle_network(layer: DataFrame) -> DataFrame:
+    """Cycle routes of the national network."""
+    return T.routes_by_type(layer, "bicycle", "ncn")
+
+
+def elevation_map(routes: DataFrame, points: DataFrame, dem: DataFrame, least: float, folder: str) -> str:
+    return pages.render_map({f"above {least:g}": high_routes(routes, points, dem, least)}, folder, "High routes")
+
+
+def cities_and_routes_by_zoom(places: DataFrame, roads: DataFrame, scores: DataFrame, tiers=ranking.TIERS) -> tuple[DataFrame, DataFrame]:
+    """(places with the zoom they appear at, edges with theirs)"""
+    return cities_by_zoom(places, tiers), importance.reveal(scores).join(roads, "edge_id")
+
+
+def across_subregions(layers: DataFrame, regions: DataFrame, under: str, analysis: Callable[[DataFrame], DataFrame], region: str = "region") -> DataFrame:
+    """An analysis of all finest regions below one, in one job: the region is a column, not a loop."""
+    chosen = catalog.subregion_leaves(regions, under).select(F.col("path").alias(region))
+    return analysis(layers.join(chosen, region, "left_semi"))
+
+
+def transit_analysis(feed: dict[str, DataFrame]) -> DataFrame:
+    return transit.report(feed)
+
+
+def refresh_extract(spark: SparkSession, extract: str, updates: str, out: str) -> tuple[int | None, int]:
+    """Rolls an extract forward by all change files of a replication folder, in one pass; (last sequence, elements)."""
+    changed = extracts.apply_diffs(pbf.read_pbf(spark, extract), diffs.read_changes(spark, updates))
+    pbf.write_pbf(changed, out)
+    return diffs.read_state(spark, updates)[0], pbf.read_pbf(spark, out).count()
+
+
+def build_region_extracts(elements: DataFrame, areas: DataFrame, root: str) -> list[str]:
+    """root/<region>-latest.osm.pbf of every region, cut in one pass; returns the regions."""
+    cut = Scratch(elements.sparkSession, "cut").table(extracts.cut_regions(elements, areas))
+    names = sorted(r[0] for r in areas.select("region").distinct().collect())
+    for name in names:
+        pbf.write_pbf(cut.where(F.col("region") == name).drop("region"), f"{root}/{name}-latest.osm.pbf")
+    return names
+
+
+#: Analyses of one category's layer that run on any source: name -> (category, analysis).
+ON_SOURCES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "bicycle_routes": ("routes", lambda df: T.routes_by_type(df, "bicycle")),
+    "hiking_trails": ("routes", lambda df: T.routes_by_type(df, "hiking")),
+    "national_cycle_network": ("routes", national_cycle_network),
+    "analyze_amenities": ("amenities", lambda df: A.amenity_stats(T.amenities(df))),
+    "healthcare": ("amenities", lambda df: T.amenities(df, "healthcare")),
+    "major_roads": ("roads", lambda df: T.roads(df, "major")),
+    "analyze_parks": ("parks", lambda df: A.park_stats(T.parks(df.withColumn("area_km2", F.col("area_km2") if "area_km2" in df.columns else F.lit(0.0))))),
+    "large_cities": ("population", large_cities),
+    "discover_cities_and_towns": ("population", discover_cities_and_towns),
+    "city_analysis": ("population", city_analysis),
+    "buildings": ("buildings", T.buildings),
+    "state_boundaries": ("boundaries", lambda df: T.admin_boundaries(df, "state")),
+    "transport_overview": ("routes", transport_overview),
+}
+
+
+def run_on(spark: SparkSession, name: str, handle: handles.Handle) -> DataFrame:
+    """A composed analysis on a source: an extract, a layer file, a table, a columnar or a relational source."""
+    category, analysis = ON_SOURCES[name]
+    layer = handles.open_layer(spark, handle, category)
+    return analysis(layer if "feature_id" in layer.columns else layer.withColumn("feature_id", F.col("id" if "id" in layer.columns else "osm_id")))
+
+
 #: Operators and analyses by name, for callers that look them up.
 REGISTRY: dict[str, Callable] = {
     "within_distance": D.within_distance, "beyond_distance": D.beyond_distance, "nearest": D.nearest_annotated, "k_nearest": D.k_nearest, "nearest_stops": D.nearest_stops, "stop_accessibility": D.accessibility_bands, "exposure": D.exposure_join, "plan_city_pairs": D.plan_city_pairs,
