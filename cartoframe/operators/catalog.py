@@ -84,20 +84,21 @@ def match_vocabulary(terms: DataFrame, vocabulary: DataFrame, key: str | None =
 
     1 for the value itself, .9 for a synonym, .65 if all words of the query are
     in the term, .5 if one is a part of the other.  vocabulary: key, value,
-    synonyms.  Its size is that of a tag dictionary; it is the side to broadcast
-    if it is under Spark's threshold.
+    synonyms.  Queries meet only terms that they share a piece or a word with.
     """
     v = vocabulary.select("key", "value", normalise_term(F.col("value")).alias("v"), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), normalise_term).alias("s"))
     if key:
         v = v.where(F.col("key") == key.strip().lower())
     q = terms.select("query", normalise_term(F.col("query")).alias("q")).where("q <> ''")
-
-    def one(t: Column) -> Column:
-        inside = F.size(F.array_except(F.split("q", " "), F.split(t, " "))) == 0
-        return F.when(F.col("q") == t, F.when(t == F.col("v"), 1.0).otherwise(0.9)).when(inside, 0.65).when(t.contains(F.col("q")) | F.col("q").contains(t), 0.5).otherwise(0.0)
-
-    known = v.withColumn("t", F.filter(F.concat(F.array("v"), F.col("s")), lambda x: x != ""))
-    scored = q.join(known, F.lit(True)).withColumn("confidence", F.array_max(F.transform("t", one))).where("confidence > 0")
+    t = v.select("key", "value", "v", F.explode(F.array_distinct(F.filter(F.concat(F.array("v"), F.col("s")), lambda x: x != ""))).alias("t"))
+    # a part of a text begins with one of the text's pieces; a query whose words are all in a term shares its first word
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(c, i, n)))))
+    inside_term = q.select("*", F.substring("q", 1, 3).alias("g")).join(t.select("*", F.explode(pieces(F.col("t"))).alias("g")), "g")
+    inside_query = q.select("*", F.explode(pieces(F.col("q"))).alias("g")).join(t.select("*", F.substring("t", 1, 3).alias("g")), "g")
+    words = q.select("*", F.split("q", " ")[0].alias("g")).join(t.select("*", F.explode(F.split("t", " ")).alias("g")), "g")
+    met = inside_term.unionByName(inside_query).unionByName(words).select("query", "q", "key", "value", "v", "t").distinct()
+    every = F.size(F.array_except(F.split("q", " "), F.split("t", " "))) == 0
+    scored = met.withColumn("confidence", F.when(F.col("q") == F.col("t"), F.when(F.col("t") == F.col("v"), 1.0).otherwise(0.9)).when(every, 0.65).when(F.contains("t", "q") | F.contains("q", "t"), 0.5).otherwise(0.0)).where("confidence > 0")
     scored = scored.groupBy("query", "key", "value").agg(F.max("confidence").alias("confidence"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("confidence"), "key", "value")))
     return (ranked.where(F.col("rank") <= limit) if limit else ranked).select("query", "key", "value", "confidence", "rank")

@@ -121,6 +121,78 @@ def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
     return _with_result(met, common, True).withColumnRenamed("result", "parts")
 
 
+#: What a subject's geometry has to do with a reference area's.
+PREDICATES = ("intersects", "within", "contains")
+
+
+def _geometry(kind: str | None, coords, parts) -> tuple[list[np.ndarray], R.Shape]:
+    """(lines, areas) of a feature; points are lines of one point."""
+    if parts:
+        return [], _shape(parts)
+    if not coords:
+        return [], []
+    line = _array(coords)
+    closed = len(line) >= 4 and (line[0] == line[-1]).all()
+    if kind == "Polygon" or (kind is None and closed):
+        return [], [line]
+    return ([p[None] for p in line] if kind in ("Point", "MultiPoint") else [line]), []
+
+
+def related(subject: tuple, reference: tuple, predicate: str) -> bool:
+    """Whether a feature intersects, is within, or contains another; boundaries belong to areas."""
+    if predicate == "contains":
+        return related(reference, subject, "within")
+    lines, areas = subject
+    other_lines, other = reference
+    if predicate == "within":
+        if not other:
+            return False
+        if areas:
+            whole = R.area(R.union([areas]))
+            return abs(R.area(R.intersection([areas, other])) - whole) <= 1e-9 * max(whole, 1e-12)
+        return bool(lines) and all(R.covers(other, line) for line in lines)
+    if areas and other:
+        return R.touches(areas, other)
+    if areas:
+        return any(R.meets(areas, line) for line in other_lines)
+    if other:
+        return any(R.meets(other, line) for line in lines)
+    return any(R.lines_meet(a, b) for a in lines for b in other_lines)
+
+
+def spatial_join(subjects: DataFrame, references: DataFrame, *, key: str, order: str, predicate: str = "intersects", how: str = "left", prefix: str = "ref_") -> DataFrame:
+    """Subjects (points, lines, areas; coords and gtype, or parts) with the attributes of the first reference, by `order`, that fits the predicate, and their number.
+
+    Pairs come from the cells of both boxes; `left` keeps subjects without a match.
+    """
+    if predicate not in PREDICATES:
+        raise ValueError(f"predicate: {', '.join(PREDICATES)}, not {predicate}")
+    if how not in ("left", "inner"):
+        raise ValueError(f"how: left or inner, not {how}")
+    attributes = [c for c in references.columns if c not in ("coords", "parts", "gtype")]
+
+    def boxed(df: DataFrame, *more: str) -> DataFrame:
+        kind = F.col("gtype") if "gtype" in df.columns else F.lit(None).cast("string")
+        parts = F.col("parts") if "parts" in df.columns else F.lit(None).cast(PARTS)
+        line = F.when(F.size("coords") > 0, F.array(F.array("coords"))) if "coords" in df.columns else F.lit(None).cast(PARTS)
+        coords = F.col("coords") if "coords" in df.columns else F.lit(None).cast(RING)
+        return df.select(*more, kind.alias("kind"), coords.alias("line"), parts.alias("areas"), F.coalesce(parts, line).alias("parts"))
+
+    met = meeting(boxed(subjects, key), boxed(references, *attributes))
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0), batch.column(1)
+            geometry = lambda x: list(zip(*(x.field(c).to_pylist() for c in ("kind", "line", "areas")), strict=True))
+            keep = [related(_geometry(*x), _geometry(*y), predicate) for x, y in zip(geometry(a), geometry(b), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    found = met.mapInArrow(fits, met.schema).select(F.col(f"a.{key}").alias(key), F.struct(*[F.col(f"b.{c}").alias(c) for c in attributes]).alias("r"))
+    best = found.groupBy(key).agg(F.min_by("r", f"r.{order}").alias("r"), F.count(F.lit(1)).alias("n"))
+    out = subjects.join(best, key, how)
+    return out.select(*subjects.columns, *[F.col(f"r.{c}").alias(f"{prefix}{c}") for c in attributes], F.coalesce("n", F.lit(0)).alias(f"{prefix}joined_count"))
+
+
 def clip(df: DataFrame, parts: list) -> DataFrame:
     """Features cut to a polygon (parts as nested lists of (lon, lat)); those outside go."""
     shape = [np.array(ring, float) for part in parts for ring in part]
