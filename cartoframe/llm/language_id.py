@@ -30,8 +30,8 @@ from cartoframe.llm.sampling import Sample
 from cartoframe.llm.toxicity import is_held_out
 
 #: Labelled texts of a language that a dictionary is made from at most.
-SAMPLE_ROWS = 400
-PIECE, LEVEL = 4 << 10, 5
+SAMPLE_ROWS = 300
+PIECE, LEVEL = 4 << 10, 4
 
 _LETTER = regex.compile(r"\p{L}").search
 _BETWEEN = regex.compile(r"[^\p{L}\p{M}]+").sub
