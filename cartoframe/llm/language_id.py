@@ -8,7 +8,8 @@ the text (`rejected`).
 
 A text is compressed in pieces of PIECE bytes, all of them, so that the
 dictionary stays in the matcher's reach and does not lose its weight in long
-texts.  All texts are compressed at one level.
+texts.  Every text is compressed at each of LEVELS, and the sizes are added: their
+match finders differ, so that short texts tie less and err in different places.
 
 Defined cases: a text that is null or has no letters (Unicode category L) is
 `und`, with score 0.  Ties go to the language that sorts first.  With one
@@ -31,7 +32,7 @@ from cartoframe.llm.toxicity import is_held_out
 
 #: Labelled texts of a language that a dictionary is made from at most.
 SAMPLE_ROWS = 300
-PIECE, LEVEL = 4 << 10, 4
+PIECE, LEVELS = 4 << 10, (4, 5)
 
 _LETTER = regex.compile(r"\p{L}").search
 _BETWEEN = regex.compile(r"[^\p{L}\p{M}]+").sub
@@ -57,9 +58,12 @@ class Classifier:
         self.langs = sorted(dictionaries)
         self.by = []
         for lang in self.langs:
-            d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.by.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+            own = []
+            for level in LEVELS:
+                d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                own.append(zstd.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+            self.by.append(own)
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, margin)"""
@@ -67,7 +71,7 @@ class Classifier:
             return "und", 0.0
         raw = _clean(text).encode()
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        sizes = [sum(len(compress(p)) for p in pieces) for compress in self.by]
+        sizes = [sum(len(compress(p)) for compress in own for p in pieces) for own in self.by]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = [s for i, s in enumerate(sizes) if i != best]
         return self.langs[best], min(1.0, (min(others) - sizes[best]) / sizes[best]) if others else 1.0
