@@ -202,3 +202,34 @@ def test_spacing_and_tiers(spark):
     assert ranking.top_by_population(df, -1, "feature_id").count() == 5
     t = ranking.tier_cities(df.withColumn("population_value", F.lit(10_000)))
     assert {r.zoom for r in t.collect()} == {10} and {r.zoom: r.n for r in ranking.split_tiers(t).collect()} == {3: 0, 6: 0, 8: 0, 10: 5}
+
+
+def test_simplified_lines_match_a_recursive_version(spark):
+    import math
+    import random
+
+    rng = random.Random(8)
+
+    def plain(line, tolerance):
+        if len(line) < 3:
+            return line
+        (ax, ay), (bx, by) = line[0], line[-1]
+        dx, dy = bx - ax, by - ay
+        n = dx * dx + dy * dy
+        off = []
+        for x, y in line[1:-1]:
+            t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / n)) if n else 0.0
+            off.append(math.hypot(x - ax - t * dx, y - ay - t * dy))
+        far = max(range(len(off)), key=off.__getitem__)
+        if off[far] <= tolerance:
+            return [line[0], line[-1]]
+        return plain(line[: far + 2], tolerance)[:-1] + plain(line[far + 1 :], tolerance)
+
+    rows = [(i, [(rng.uniform(0, 3), 50 + rng.uniform(0, 2)) for _ in range(rng.randrange(2, 40))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, coords array<struct<lon:double,lat:double>>")
+    for tolerance in (100.0, 20_000.0, 90_000.0):
+        for r in spatial.simplify(df, tolerance).collect():
+            line = rows[r.id][1]
+            k = 111320.0 * math.cos(math.radians(sum(y for _, y in line) / len(line)))
+            want = plain([(x * k, y * 111320.0) for x, y in line], tolerance) if len(line) > 2 else [(x * k, y * 111320.0) for x, y in line]
+            assert [(round(p.lon * k, 3), round(p.lat * 111320.0, 3)) for p in r.coords] == [(round(x, 3), round(y, 3)) for x, y in want]
