@@ -50,3 +50,11 @@ def test_votes(spark, tmp_path):
     # (1, 2000002) and (2, 1000002) are both number 3000002
     got, want = _both(spark, _folder(tmp_path, [[1, 2000002], [2, 1000002], [2, 1000002], [7, 9]]), "votes")
     assert got == want and (3000002, 3) in got
+
+
+def test_prune(spark, tmp_path):
+    # of two edges with one number only (1, 2000005) is chosen; it and its longer neighbour stay as (1, 2000005) is far across
+    u, v = 1, next(n for n in range(2_000_000, 2_000_400) if (7 + n) % 23 == 0 and (n * 6700417 % 10000) > 9000)
+    assert (14 + v - 1_000_000) % 23
+    got, want = _both(spark, _folder(tmp_path, [[u, v], [2, v - 1_000_000], [3, 4], [1, 3], [2, 4]]), "prune")
+    assert got == want and len(got) == 1
