@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartoframe.operators import distance as D
+
 # Weights, and the distance at which a component reaches 0.
 WEIGHTS = {"hospitals": 0.25, "fire": 0.25, "police": 0.25, "shelters": 0.25}
 ZERO_KM = 50.0
@@ -24,11 +26,26 @@ def category_metrics(distances: DataFrame, cities: DataFrame) -> DataFrame:
     distances: city_id, category, km (negative: no route).  The median is the
     element at half the length of the sorted list.
     """
-    ok = F.array_sort(F.filter(F.collect_list("km"), lambda d: d >= 0))
+    ok = F.sort_array(F.collect_list(F.when(F.col("km") >= 0, F.col("km"))))
     g = distances.groupBy("city_id", "category").agg(ok.alias("d"), F.count(F.lit(1)).alias("facilities"))
     g = g.select("city_id", "category", F.round(F.get("d", F.lit(0)), 2).alias("nearest_km"), F.round(F.get("d", F.floor(F.size("d") / 2).cast("int")), 2).alias("median_km"), "facilities")
-    per = F.when(F.col("population") > 0, F.round(F.col("facilities") * 100000.0 / F.col("population"), 2)).alias("per_100k")
-    return g.join(cities.select("city_id", "population"), "city_id").select(*g.columns, per)
+    return g.join(cities.select("city_id", "population"), "city_id").select(*g.columns, _per_100k().alias("per_100k"))
+
+
+def metrics_within(cities: DataFrame, facilities: DataFrame, max_km: float) -> DataFrame:
+    """category_metrics of great-circle distances up to max_km.  cities: city_id, population, lon, lat; facilities: category, lon, lat.
+
+    Cities at one place have the same distances, which are found once for the place.
+    """
+    places = cities.groupBy("lon", "lat").agg(F.min("city_id").alias("place"))
+    pairs = D.within(places, facilities.select("category", "lon", "lat"), max_km).select(F.col("place").alias("city_id"), F.col("ref.category").alias("category"), F.col("distance_km").alias("km"))
+    found = category_metrics(pairs, cities).drop("per_100k").withColumnRenamed("city_id", "place")
+    every = cities.select("city_id", "population", "lon", "lat").join(places, ["lon", "lat"]).join(found, "place")
+    return every.select("city_id", "category", "nearest_km", "median_km", "facilities", _per_100k().alias("per_100k"))
+
+
+def _per_100k() -> Column:
+    return F.when(F.col("population") > 0, F.round(F.col("facilities") * 100000.0 / F.col("population"), 2))
 
 
 def component(df: DataFrame) -> DataFrame:

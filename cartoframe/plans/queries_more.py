@@ -115,8 +115,7 @@ def _metrics(spark, d):
     cities = layer(spark, d, "geo_points")
     kinds = F.array(*map(F.lit, readiness.WEIGHTS))
     facilities = layer(spark, d, "geo_refs").select("ref_id", "lon", "lat", F.get(kinds, (F.col("ref_id") % 4).cast("int")).alias("category"))
-    pairs = D.within(cities.select(F.col("feature_id").alias("city_id"), "lon", "lat"), facilities, 150).select("city_id", F.col("ref.category").alias("category"), F.col("distance_km").alias("km"))
-    return cities, readiness.category_metrics(pairs, cities.select(F.col("feature_id").alias("city_id"), "population"))
+    return cities, readiness.metrics_within(cities.select(F.col("feature_id").alias("city_id"), "population", "lon", "lat"), facilities, 150)
 
 
 @query("readiness_metrics", _READY + " SELECT feature_id AS city_id, category, nearest_km, median_km, facilities FROM t")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoframe.operators import distance as D
+from cartoframe.operators import readiness
 
 
 @pytest.fixture
@@ -23,3 +24,10 @@ def test_nearest_with_a_cap(spark, searched):
     got = D.nearest(subjects, refs, "k", "r", 60).select("k", "ref.r", "distance_km").collect()
     assert sorted(map(tuple, got)) == [(k, 0, 0.0) for k in range(50)]
     assert sum(n for n, _ in searched) == 1 and max(km for n, km in searched if n) < 1
+
+
+def test_metrics(spark, searched):
+    cities = _at(spark, 50, F.col("id").alias("city_id"), F.when(F.col("id") > 0, 1000).alias("population"))
+    got = readiness.metrics_within(cities, _at(spark, 3, F.lit("fire").alias("category")), 150).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == [(k, "fire", 0.0, 0.0, 3, 300.0 if k else None) for k in range(50)]
+    assert sum(n for n, _ in searched) == 1
