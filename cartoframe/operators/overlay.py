@@ -209,6 +209,8 @@ def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     whole = parts_of(left)
     met = meeting(whole.select(key, "parts"), parts_of(right).select("parts")).groupBy(F.col(f"a.{key}").alias("__k")).agg(F.collect_list("b.parts").alias("__others"))
     joined = whole.join(met, whole[key] == met["__k"], "left").drop("__k")
+    # few rows with much work each: not to be put together in one task
+    joined = joined.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
     def rest(batch: pa.RecordBatch) -> list:
         own, others = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("parts", "__others"))
